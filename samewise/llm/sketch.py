@@ -1,0 +1,37 @@
+"""A bounded frequency sketch: how many of many hashes fall in each of a fixed number of buckets."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Buckets of a sketch. This, not the data, bounds what is sent to the driver and broadcast: 4 bytes a bucket.
+BUCKETS = 1 << 20
+
+
+def frequency_sketch(df: DataFrame, hash_col: Column) -> np.ndarray:
+    """Counts of ``hash_col`` (long) by bucket, saturated at 2^31 - 1; pre-aggregated before the shuffle.
+
+    The counts only order things by cost; no result depends on them.
+    """
+    rows = df.groupBy(F.pmod(hash_col, F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()
+    out = np.zeros(BUCKETS, np.int32)
+    out[rows["b"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 2**31 - 1)
+    return out
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
+    x = x.astype(np.uint64, copy=True)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    """The bucket of each hash, as frequency_sketch counts it (the low bits, as BUCKETS is a power of two)."""
+    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
