@@ -108,9 +108,10 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, scheme: Scheme, role: str, s
     return rec[np.concatenate([seg_inst[zero], seg_inst[one], inst[deep]])], np.concatenate([whole[zero], cut[one], fewer[deep]])
 
 
-def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None) -> DataFrame:
-    """(key, id, n, parity) from (id, hashes array<long>); parity is a 64-bit exclusive-or image of the set."""
+def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, id, n, parity, *carry) from (id, hashes array<long>, *carry); parity is a 64-bit exclusive-or image of the set."""
     shared = None if sketch is None else sets.sparkSession.sparkContext.broadcast(sketch)
+    kinds = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in carry)
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -122,9 +123,11 @@ def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarra
                 flat = lists.flatten().to_numpy().view(U)
                 at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
                 parity = np.bitwise_xor.reduceat(U(1) << (mix(flat ^ U(0x2545F4914F6CDD1D)) & U(63)), np.cumsum(sizes) - sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(at)), pa.array(sizes[at].astype(np.int32)), pa.array(parity[at].view(np.int64))], names=["key", "id", "n", "parity"])
+                take = pa.array(at)
+                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), pa.array(parity[at].view(np.int64)), *(part.column(2 + k).take(take) for k in range(len(carry)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", *carry])
 
-    return sets.select("id", "hashes").mapInArrow(run, f"key long, id {kind}, n int, parity long")
+    return sets.select("id", "hashes", *carry).mapInArrow(run, f"key long, id {kind}, n int, parity long{kinds}")
 
 
 def similar_set_pairs(sets: DataFrame, threshold: float, slack: float = 1.3, label: str = "id") -> DataFrame:

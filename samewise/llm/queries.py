@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from samewise.functions.text import normalize, strip, word_set, words
 from samewise.llm.components import connected_components
+from samewise.llm.entity_match import match_profiles
+from samewise.llm.mixing import mix_report, mix_sources
 from samewise.llm.near_dup import near_duplicate_groups
 from samewise.llm.overlap_join import record_sets, similar_pairs, similar_records
+from samewise.llm.reading_level import reading_levels, train_levels
 from samewise.llm.term_stats import term_statistics
-from samewise.llm.tokenize import decode_ids, encode_texts
+from samewise.llm.tokenize import count_tokens, decode_ids, encode_texts
 from samewise.queries.tables import rule_threshold, table
 
 TERM_KEYS = ("title", "author", "booktitle", "journal", "publisher")
@@ -60,7 +63,45 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return coded.select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").alias("n_bytes"), F.coalesce(last < F.octet_length("text"), F.lit(True)).alias("offsets_within"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_classes, p5_found, p8_ids, p8_round_trip)}
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    names = [r["source"] for r in targets.select("source").distinct().collect()]
+    wanted = table(spark, d, "documents").where(F.col("source").isin(*names))
+    return mix_sources(count_tokens(wanted, ["doc_id", "source"]), targets), targets
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0].select("doc_id", "source", "n_tokens", "rate", "copies")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mix_report(*_mix(spark, d))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    lang = F.lower(strip(F.col("lang")))
+    other = lang.isNotNull() & ~lang.startswith("en") & ~lang.isin("", "und", "unknown", "mul")
+    return reading_levels(documents, train_levels(documents, table(spark, d, "level_labels"), other))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where((F.col("n_words") > 0) & (F.get("level_words", F.lit(4)) * 2 > F.col("n_words"))).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).select("doc_id", "level", "confidence", "n_words")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return match_profiles(table(spark, d, "profiles")).select("id1", "id2")
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_profiles(table(spark, d, "profiles"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_classes, p5_found, p6_found, p6_matches, p8_ids, p8_round_trip, p9_mix, p9_report, p10_found, p10_levels)}
 
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _OCCURRENCES = f"""select profile_id, lower(trim(attr_key)) k, unnest({_WORDS.format('attr_value')}) term from key_values where profile_id is not null"""
