@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Buckets of a sketch. This, not the data, bounds what is sent to the driver and broadcast: 4 bytes a bucket.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 
 
 def frequency_sketch(df: DataFrame, hash_col: Column) -> np.ndarray:
