@@ -90,7 +90,7 @@ def attribute_grid(rows: DataFrame, entity: str, attr: str, value: str, attribut
     grid = flat.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, range(len(attributes))))).alias("pos"))
     cells = grid.join(values, (F.col("entity") == F.col("e")) & (F.col("pos") - F.col("at") == 0), "left")
     ordered = cells.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("cells"))
-    return ordered.select(F.col("entity").alias(entity), F.transform("cells", lambda c: c["found"]).alias("cells"))
+    return ordered.select("entity", F.transform("cells", lambda c: c["found"]).alias("cells"))
 
 
 def cell_value(cell: Column, kind: str | Callable[[Column], Column]) -> Column:
@@ -108,14 +108,14 @@ def wide_table(rows: DataFrame, entity: str, attr: str, value: str, attributes:
     A scalar cell without a readable value is null, a list cell without values empty. An empty table gives an empty result.
     """
     grid = attribute_grid(rows, entity, attr, value, attributes, versions)
-    return grid.select(entity, *(cell_value(F.get("cells", F.lit(k)), a.kind).alias(a.name) for k, a in enumerate(attributes)))
+    return grid.select(F.col("entity").alias(entity), *(cell_value(F.get("cells", F.lit(k)), a.kind).alias(a.name) for k, a in enumerate(attributes)))
 
 
 def unreadable_cells(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = ()) -> DataFrame:
     """(entity, attr) of the cells of the wide table that stay empty although there is a non-blank value."""
     grid = attribute_grid(rows, entity, attr, value, attributes, versions)
     bad = F.array(*(F.when(F.get("cells", F.lit(k)).isNotNull() & cell_value(F.get("cells", F.lit(k)), a.kind).isNull(), F.lit(a.name)) for k, a in enumerate(attributes)))
-    return grid.select(entity, F.explode(F.array_compact(bad)).alias(attr))
+    return grid.select(F.col("entity").alias(entity), F.explode(F.array_compact(bad)).alias(attr))
 
 
 def nested_to_rows(profiles: DataFrame, entity: str, attributes: str) -> DataFrame:
