@@ -27,9 +27,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared checkpoint folder, so that a lost executor costs a re-read only."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once and written as a table to the shared checkpoint folder, so that a lost executor costs a re-read only.
+
+    A table rather than an RDD checkpoint: the latter hands on the constraints and partitionings of its plan, which
+    multiply through the joins and renamings of an iteration until planning takes longer than the work. The files go when
+    the session ends, or with ``forget``.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._samewise_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes the files of checkpointed frames that nothing will read any more."""
+    for df in frames:
+        path = getattr(df, "_samewise_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def temp_name(stem: str) -> str:
