@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.session import checkpoint
+from samewise.session import checkpoint, forget
 
 
 def undirected(pairs: DataFrame, id1: str, id2: str) -> DataFrame:
@@ -33,18 +33,19 @@ def connected_components(pairs: DataFrame, id1: str = "id1", id2: str = "id2") -
     while not edges.isEmpty():
         ends = F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")), F.struct(F.col("hi").alias("x"), F.col("lo").alias("y"))))
         hook = checkpoint(edges.select(ends.alias("e")).groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("p")))
-        above = hook.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-        tree = checkpoint(hook.join(above, "p").select("x", F.least("p", "pp").alias("p")))
-        while True:
+        tree, moved = hook, True
+        while moved:
             above = tree.select(F.col("x").alias("p"), F.col("p").alias("pp"))
-            step = checkpoint(tree.join(above, "p").select("x", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            tree = step.drop("moved")
-            if step.where("moved").isEmpty():
-                break
-        rounds.append(tree)
+            # the first step cuts the cycles of two; after it, a parent's parent is never larger
+            step = checkpoint(tree.select("x", "p").join(above, "p").select("x", F.least("p", "pp").alias("p"), (F.col("p") != F.least("p", "pp")).alias("moved")))
+            moved = tree is hook or not step.where("moved").isEmpty()
+            forget(tree)
+            tree = step
+        rounds.append(tree.select("x", "p"))
         to = lambda end: tree.select(F.col("x").alias(end), F.col("p").alias(f"{end}_root"))
-        moved = edges.join(to("lo"), "lo").join(to("hi"), "hi")
-        edges = checkpoint(undirected(moved, "lo_root", "hi_root"))
+        relabelled = checkpoint(undirected(edges.join(to("lo"), "lo").join(to("hi"), "hi"), "lo_root", "hi_root"))
+        forget(edges)
+        edges = relabelled
     if not rounds:
         return edges.select(F.col("lo").alias("rec_id"), F.col("hi").alias("group_id"))
     label = rounds.pop()
