@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -36,17 +37,29 @@ FIELDS = {
 }
 FIELD_OF = {name: field for field, names in FIELDS.items() for name in names}
 # Words that stand for a missing value.
-MISSING = {"", "n.a.", "n.a", "n/a", "na", "none", "null", "unknown", "-", "?"}
+MISSING = {"", "n.a.", "n.a", "n.?.", "n/a", "na", "none", "null", "unknown", "-", "?"}
+# Words that mark a later sequel; such a mark counts as a part of its own.
+SEQUEL, SEQUEL_PART = {"revisited"}, 100
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
 
 _PAGES = re.compile(r"[,\s]*(?:pp?\.?\s*)?(\d+)\s*-+\s*(\d+)\s*$")
 _YEAR = re.compile(r"(?<!\d)(\d{4})(?!\d)|'(\d{2})(?!\d)")
-_PART = re.compile(r"[\s,:-]*\bpart\s+([ivx]+|\d+)\W*$")
+_PART = re.compile(r"[\s,:-]*\bpart\s+([ivx]+|\d+)\b")
 _SPLIT = re.compile(r"\s+and\s+|\s*[;&,]\s*")
 
 
 def plain(text: str) -> str:
-    """Lower-cased, compatibility forms and accents resolved."""
+    """Lower-cased; text decoded with the wrong encoding, even twice, is set right; compatibility forms and accents resolved."""
+    for _ in range(3):
+        if "\u00c3" not in text and "\u00c2" not in text:
+            break
+        try:
+            text = text.encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            try:
+                text = text.encode("latin-1").decode("utf-8")
+            except UnicodeError:
+                break
     return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
 
 
@@ -96,9 +109,9 @@ def venue_key(text: str) -> str:
     t = re.sub(r"^proc(?:eedings)?\b\.?\s*(?:of\s+)?(?:the\s+)?", "", plain(text)).strip(" .")
     if t in MISSING or plain(text).strip() in MISSING:
         return ""
-    if m := re.match(r"(?:journal of|j\.?)\s+([a-z]{2})", t):
+    if m := re.match(r"(?:jo\S{3,5} of|j\.?)\s+([a-z]{2})", t):
         return "j" + m.group(1)
-    if m := re.match(r"international symposium on\s+([a-z]{2})", t) or re.match(r"is([a-z]{2})s?\b", t):
+    if m := re.match(r"in\S+ sym\S+ on\s+([a-z]{2})", t) or re.match(r"is([a-z]{2})s?\b", t):
         return "s" + m.group(1)
     return t[:4]
 
@@ -113,6 +126,17 @@ def year_of(text: str) -> int:
     return (1900 if int(m.group(2)) > 40 else 2000) + int(m.group(2))
 
 
+def close_to(word: str, marks: set[str]) -> bool:
+    """The word is one of the marks but for one edit or a swap of neighbours."""
+    for m in marks:
+        if word == m or (abs(len(word) - len(m)) <= 1 and len(word) > 5):
+            a = next((k for k, (x, y) in enumerate(zip(word, m, strict=False)) if x != y), min(len(word), len(m)))
+            rest = (word[a + 1 :], m[a + 1 :], word[a:], m[a:])
+            if word == m or rest[0] == rest[1] or rest[0] == rest[3] or rest[2] == rest[1] or (rest[2][:2] == rest[3][1::-1] and rest[2][2:] == rest[3][2:]):
+                return True
+    return False
+
+
 def grams_of(text: str, q: int) -> set[str]:
     words = re.findall(r"[a-z0-9]+", text)
     return {p[i : i + q] for w in words for p in (f" {w} ",) for i in range(len(p) - q + 1)}
@@ -138,7 +162,9 @@ def features(attributes: list[dict] | None) -> dict:
     part = 0
     if m := _PART.search(title):
         part = ROMAN.get(m.group(1)) or (int(m.group(1)) if m.group(1).isdigit() else 0)
-        title = title[: m.start()]
+        title = title[: m.start()] + title[m.end() :]
+    elif marks := [w for w in re.findall("[a-z]+", title) if close_to(w, SEQUEL)]:
+        part, title = SEQUEL_PART, re.sub(rf"\b{marks[-1]}\b", " ", title)
     names = [n for a in by.get("authors", []) for n in surnames(plain(a))]
     page = re.search(r"\d+", " ".join(by.get("pages", [])))
     return {
@@ -211,7 +237,13 @@ def profile_features(profiles: DataFrame, id_col: str, source_col: str, attribut
 
 def as_words(bits: Column, size: int) -> list[Column]:
     """A list of bit positions as 64-bit words."""
-    return [F.aggregate(F.filter(bits, lambda b, k=k: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda w, b: w.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))) for k in range(size // 64)]
+
+    def word(k: int) -> Column:
+        # the functions take one argument each: a second one would be the index of the element
+        own = F.filter(bits, lambda b: F.floor(b / 64) == k)
+        return F.aggregate(F.transform(own, lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))), F.lit(0).cast("long"), lambda w, b: w.bitwiseOR(b))
+
+    return [word(k) for k in range(size // 64)]
 
 
 def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -239,19 +271,27 @@ def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 #: Levels of agreement of each field; each combination is a pattern, so their number is bounded whatever the data.
 LEVELS = {"title": 21, "authors": 12, "year": 4, "venue": 3, "page": 3, "part": 3, "longer": 3}
+#: What a contradiction takes from a score.
+CONTRADICTION = 50.0
 #: Levels that say that a value is missing or can't be compared: they weigh nothing.
 SILENT = {"authors": 11, "year": 0, "venue": 0, "page": 0, "part": 0, "longer": 0}
 
 
+def contradicted(level: Callable[[str], object]) -> object:
+    """Versions in another venue and year, other parts, sequels: years two or more apart, parts or sequel marks that differ, or venues that differ and years that aren't known to be equal."""
+    return (level("year") == 1) | (level("part") == 1) | ((level("venue") == 1) & (level("year") != 3))
+
+
 def fit_weights(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[dict[str, np.ndarray], float]:
     """Log-likelihood ratios of each field's levels, and the log odds of a match, by expectation maximisation over patterns.
 
     patterns: [patterns, fields] levels; counts: the pairs with each. It starts from the pairs that agree in title,
-    authors and year. A missing value weighs nothing. The ratios of the two Dice scores are made to rise with the score.
+    authors and year; pairs that are contradicted count as different throughout. A missing value weighs nothing. The ratios of the two Dice scores are made to rise with the score.
     """
     names = list(LEVELS)
     col = {n: patterns[:, k] for k, n in enumerate(names)}
-    m = ((col["title"] >= 16) & (col["authors"] >= 7) & (col["year"] != 1) & (col["part"] != 1)).astype(float) * 0.98 + 0.01
+    apart = contradicted(col.__getitem__)
+    m = ((col["title"] >= 16) & (col["authors"] >= 7) & ~apart).astype(float) * 0.98 + 0.01
     weights = {n: np.zeros(k) for n, k in LEVELS.items()}
     odds = 0.0
     for _ in range(steps):
@@ -270,7 +310,7 @@ def fit_weights(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> t
                 ratio[SILENT[n]] = 0.0
             weights[n] = np.clip(ratio, -12, 12)
         before = m
-        m = 1 / (1 + np.exp(-np.clip(odds + sum(weights[n][col[n]] for n in names), -50, 50)))
+        m = np.where(apart, 0.0, 1 / (1 + np.exp(-np.clip(odds + sum(weights[n][col[n]] for n in names), -50, 50))))
         if np.abs(m - before).max() < 1e-6:
             break
     return weights, odds
@@ -296,7 +336,7 @@ def with_confidence(pairs: DataFrame) -> DataFrame:
     table = np.array([[r[n] for n in names] for r in rows], np.int64)
     weights, odds = fit_weights(table, np.array([r["n"] for r in rows], float))
     look = lambda n: F.get(F.array(*(F.lit(float(x)) for x in weights[n])), F.col(n))
-    score = sum((look(n) for n in names[1:]), look(names[0])) + F.lit(odds)
+    score = sum((look(n) for n in names[1:]), look(names[0])) + F.lit(odds) - F.when(contradicted(F.col), F.lit(CONTRADICTION)).otherwise(0.0)
     return pairs.withColumn("score", score).withColumn("confidence", 1 / (1 + F.exp(-F.col("score"))))
 
 
