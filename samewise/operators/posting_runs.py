@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from samewise.session import map_arrow
+
 #: Documents of an accumulator block: four 64-bit words.
 BLOCK = 256
 #: Blocks that are reduced in one place: the unit into which a hot key is split.
@@ -52,7 +54,7 @@ def posting_blocks(df: DataFrame, key: str, doc: str) -> DataFrame:
             yield flush()
 
     rows = df.select(F.col(key).alias("key"), F.col(doc).cast("long").alias("doc")).where("key is not null and doc is not null")
-    return rows.mapInArrow(scatter, "key string, block long, w0 long, w1 long, w2 long, w3 long, n long")
+    return map_arrow(rows, scatter, "key string, block long, w0 long, w1 long, w2 long, w3 long, n long")
 
 
 def posting_runs(df: DataFrame, key: str, doc: str, min_length: int = 1) -> DataFrame:
@@ -92,7 +94,8 @@ def posting_runs(df: DataFrame, key: str, doc: str, min_length: int = 1) -> Data
 
     spans = posting_blocks(df, key, doc).withColumn("span", F.floor(F.col("block") / SPAN)).repartition("key", "span")
     united = spans.groupBy("key", "span", "block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)))
-    found = united.sortWithinPartitions("key", "span", "block").select("key", "block", "w0", "w1", "w2", "w3").mapInArrow(runs, "key string, first_doc long, last_doc long, edge boolean")
+    ordered = united.sortWithinPartitions("key", "span", "block").select("key", "block", "w0", "w1", "w2", "w3")
+    found = map_arrow(ordered, runs, "key string, first_doc long, last_doc long, edge boolean")
     order = Window.partitionBy("key").orderBy("first_doc")
     edges = found.where("edge").withColumn("new", F.coalesce(F.col("first_doc") != F.lag("last_doc").over(order) + 1, F.lit(True)).cast("long"))
     stitched = edges.withColumn("island", F.sum("new").over(order)).groupBy("key", "island").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +56,22 @@ def forget(*frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def temp_name(stem: str) -> str:
-    """A column name that no input column clashes with."""
-    return f"__{stem}_{uuid.uuid4().hex[:8]}"
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the workers of a session, once; executors need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_samewise_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        target = Path(tempfile.mkdtemp(prefix="samewise-package-")) / "samewise_package.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent).as_posix())
+        sc.addPyFile(str(target))
+    sc._samewise_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with workers that know this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -57,3 +57,14 @@ def test_stream(spark, tmp_path):
     q = match_stream(stream, ref, js("t", 1.0) | ed("t", 2), "id", "id", lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert set(got) == {(1, 7), (2, 8)}
+
+
+def test_command_line(spark, tmp_path):
+    from samewise.__main__ import main as run
+
+    (tmp_path / "a.csv").write_text("key;t;n\n1;red tree;abc\n2;tree red;abd\n3;blue;xyz\n")
+    (tmp_path / "b.csv").write_text("k;t;n\n9;red tree;abc\n")
+    run([str(tmp_path / "a.csv"), "key", "t|JS|1.0,n|ED|1", str(tmp_path / "o"), "--separator", ";"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "o")).collect()] == [("1", "2")]
+    run([str(tmp_path / "a.csv"), "key", "t|JS|1;n|ED|0", str(tmp_path / "p"), "--separator", ";", "--other", str(tmp_path / "b.csv"), "--other-id", "k", "--strategy", "chain"])
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "p")).collect()} == {("1", "9"), ("2", "9")}
