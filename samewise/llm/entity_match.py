@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.near_dup import signature_rows
 from samewise.llm.sketch import frequency_sketch, mix
-from samewise.session import checkpoint
+from samewise.session import checkpoint, map_arrow
 
 U = np.uint64
 #: Bits of a title's and of an authors' vector.
@@ -231,7 +231,7 @@ def profile_features(profiles: DataFrame, id_col: str, source_col: str, attribut
 
     kind = profiles.schema[id_col].dataType.simpleString()
     rows = profiles.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(source_col).alias("ds"), F.col(attributes_col).alias("a"))
-    out = rows.mapInArrow(run, f"id {kind}, ds string, title array<long>, head array<long>, authors array<long>, year int, venue string, page long, part int, cut boolean, words int")
+    out = map_arrow(rows, run, f"id {kind}, ds string, title array<long>, head array<long>, authors array<long>, year int, venue string, page long, part int, cut boolean, words int")
     return out.dropDuplicates(["id"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.components import connected_components
 from samewise.llm.sketch import bucket, frequency_sketch, mix
-from samewise.session import checkpoint
+from samewise.session import checkpoint, map_arrow
 
 EPS = 1e-9
 U = np.uint64
@@ -127,7 +127,7 @@ def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarra
                 columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), pa.array(parity[at].view(np.int64)), *(part.column(2 + k).take(take) for k in range(len(carry)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", *carry])
 
-    return sets.select("id", "hashes", *carry).mapInArrow(run, f"key long, id {kind}, n int, parity long{kinds}")
+    return map_arrow(sets.select("id", "hashes", *carry), run, f"key long, id {kind}, n int, parity long{kinds}")
 
 
 def similar_set_pairs(sets: DataFrame, threshold: float, slack: float = 1.3, label: str = "id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.sketch import bucket, frequency_sketch, mix
-from samewise.session import checkpoint
+from samewise.session import checkpoint, map_arrow
 
 EPS = 1e-9
 U = np.uint64
@@ -105,10 +105,10 @@ def similar_pairs(sets: DataFrame, threshold: float, most_subsets: int = 128) ->
     def side(rows: DataFrame, k: int) -> DataFrame:
         return rows.select("key", *(F.col(c).alias(f"{c}{k}") for c in rows.columns if c != "key"))
 
-    tiny = hashed.where(F.size("hashes") <= bound).mapInArrow(small, f"key long, id {kind}, n int, need int")
+    tiny = map_arrow(hashed.where(F.size("hashes") <= bound), small, f"key long, id {kind}, n int, need int")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - F.lit(EPS))
     by_subset = side(tiny, 1).join(side(tiny, 2), "key").where((F.col("id1") < F.col("id2")) & (F.col("need1") == F.col("need2")) & (F.col("need1") == need)).select("id1", "id2")
-    postings = hashed.where(F.size("hashes") >= math.ceil((bound + 1) * t - EPS)).mapInArrow(lists, f"key long, id {kind}, n int")
+    postings = map_arrow(hashed.where(F.size("hashes") >= math.ceil((bound + 1) * t - EPS)), lists, f"key long, id {kind}, n int")
     fits = (F.col("n1") >= F.col("n2") * t - EPS) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2"))))
     by_list = side(postings, 1).join(side(postings.where(F.col("n") > bound), 2), "key").where(fits).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
     candidates = by_subset.unionByName(by_list).distinct()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.bpe import LETTER, class_table
 from samewise.llm.sketch import mix
+from samewise.session import map_arrow
 
 U = np.uint64
 #: Buckets that words are hashed into. It bounds the model: 4 bytes for each bucket and class.
@@ -172,7 +173,7 @@ def train_levels(documents: DataFrame, labels: DataFrame, other: Column, id_col:
         c, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[c, b])], names=["c", "b", "n"])
 
-    found = rows.mapInArrow(count, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas()
+    found = map_arrow(rows, count, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((CLASSES, BUCKETS))
     counts[found["c"].to_numpy(np.int64), found["b"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
     return LevelModel.from_counts(counts)
@@ -195,7 +196,7 @@ def reading_levels(documents: DataFrame, model: LevelModel, id_col: str = "doc_i
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, CLASSES), pa.int32()), pa.array(words.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "level_words"])
 
-    out = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, level_words array<long>")
+    out = map_arrow(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), score, f"id {kind}, level_words array<long>")
     total = F.aggregate("level_words", F.lit(0).cast("long"), lambda a, x: a + x)
     best = F.array_max(F.slice("level_words", 2, CLASSES - 1))
     english = (total > 0) & (F.get("level_words", F.lit(0)) * 2 < total)

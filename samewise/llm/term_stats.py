@@ -8,6 +8,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samewise.session import map_arrow
+
 #: A container holds the low 16 bits of the record ids that share their high bits: at most 8 KB as a bitmap.
 CONTAINER_BITS = 1 << 16
 #: From this many ids on, a container is a bitmap; below, a sorted array of 16-bit numbers.
@@ -131,8 +133,8 @@ def term_bitmaps(terms: DataFrame) -> DataFrame:
             yield _union(held)
 
     keys = ["attr", "term", "container"]
-    built = terms.where("id is not null").select("attr", "term", "id").mapInArrow(build, schema)
-    return built.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, schema)
+    built = map_arrow(terms.where("id is not null").select("attr", "term", "id"), build, schema)
+    return map_arrow(built.repartition(*keys).sortWithinPartitions(*keys), merge, schema)
 
 
 def attribute_terms(df: DataFrame, id_col: str, attr: Column, terms: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.bpe import encode_column, vocabulary
+from samewise.session import map_arrow, ship_package
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.json"
@@ -31,7 +32,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, where) if x is not None]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["id", "ids", "starts"][: 1 + len(lists)])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", starts array<int>" * offsets)
+    out = map_arrow(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, ids array<int>" + ", starts array<int>" * offsets)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -45,13 +46,15 @@ def count_tokens(df: DataFrame, keep: list[str], text_col: str = "text", folder:
             for a, b, _, counts, _ in encode_column(batch.column(len(keep)), path):
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(counts, pa.int64())], names=[*(f"c{k}" for k in range(len(keep))), "n_tokens"])
 
-    out = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).alias("text")).mapInArrow(run, f"{schema}, n_tokens long")
+    out = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)), F.col(text_col).alias("text"))
+    out = map_arrow(out, run, f"{schema}, n_tokens long")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), "n_tokens")
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", out_col: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE_50K) -> DataFrame:
     """The input with the text that the ids stand for; an empty list gives an empty text."""
     path = os.path.join(folder, name)
+    ship_package(df.sparkSession)
 
     def text(ids: Column) -> Column:
         @F.arrow_udf("string")
