@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.near_dup import signature_rows
+from samewise.llm.near_dup import image_distance, signature_rows
 from samewise.llm.sketch import frequency_sketch, mix
 from samewise.session import checkpoint, map_arrow
 
@@ -204,19 +204,34 @@ class HammingScheme:
         return np.full(np.shape(high), self.chunks, np.int64)
 
 
+#: Years of a bucket of the index.
+YEARS = 3
+
+
 def hamming_pairs(vectors: DataFrame, scheme: HammingScheme) -> DataFrame:
-    """(id1, id2, ds1, ds2), ds1 < ds2, of all pairs of different sources whose bit vectors may differ by at most the radius, distinct.
+    """(id1, id2), the first from the source with the smaller name, of all pairs of different sources whose bit vectors
+    differ by at most the radius and whose years by at most one, distinct.
 
-    vectors: id, ds, hashes (array<long>, the positions of the bits that are set, at least one). No such pair is missed;
-    some that are further apart are left for the comparison.
+    vectors: id, ds, year (0 if unknown, which is near to all), hashes (array<long>, the positions of the bits that are
+    set, at least one). No such pair is missed; a few that are further apart are left for the comparison. The year is part
+    of the key: a vector is looked up in the buckets of its own and the neighbouring years, and in that of unknown years.
     """
-    index = signature_rows(vectors, scheme, "index", carry=("ds",))
+    index = signature_rows(vectors, scheme, "index", carry=("ds", "year"))
     sketch = frequency_sketch(index, F.col("key"))
-    probe = signature_rows(vectors, scheme, "probe", sketch, carry=("ds",))
-    a = index.select("key", *(F.col(c).alias(f"{c}1") for c in ("id", "ds", "n", "parity")))
-    b = probe.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "ds", "n", "parity")))
-    close = (F.bit_count(F.col("parity1").bitwiseXOR(F.col("parity2"))) <= scheme.radius) & (F.abs(F.col("n1") - F.col("n2")) <= scheme.radius)
-    return a.join(b, "key").where((F.col("ds1") < F.col("ds2")) & close).select("id1", "id2").distinct()
+    probe = signature_rows(vectors, scheme, "probe", sketch, carry=("ds", "year"))
+    year, bucket_of = F.col("year"), lambda y: F.floor(y / YEARS).cast("int")
+    own = F.when(year == 0, -1).otherwise(bucket_of(year))
+    asked = F.when(year == 0, F.array(F.lit(-1))).otherwise(F.array_distinct(F.array(F.lit(-1), bucket_of(year - 1), bucket_of(year + 1))))
+    side = lambda rows, k: rows.select("slot", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "ds", "year", "n", "parity", "parity2")))
+    a = side(index.withColumn("slot", F.xxhash64("key", own)), 1)
+    b = side(probe.withColumn("asked", F.explode(asked)).withColumn("slot", F.xxhash64("key", "asked")), 2)
+    ordered = F.col("ds_1") < F.col("ds_2")
+    # an unknown year lies in a bucket of its own only, so such rows answer to the sources before and after theirs
+    sources = ordered | ((F.col("year_1") == 0) & (F.col("ds_1") != F.col("ds_2")))
+    years = (F.col("year_1") == 0) | (F.col("year_2") == 0) | (F.abs(F.col("year_1") - F.col("year_2")) <= 1)
+    close = (image_distance() <= scheme.radius) & (F.abs(F.col("n_1") - F.col("n_2")) <= scheme.radius)
+    found = a.join(b, "slot").where(sources & years & close)
+    return found.select(F.when(ordered, F.col("id_1")).otherwise(F.col("id_2")).alias("id1"), F.when(ordered, F.col("id_2")).otherwise(F.col("id_1")).alias("id2")).distinct()
 
 
 def profile_features(profiles: DataFrame, id_col: str, source_col: str, attributes_col: str) -> DataFrame:
@@ -344,15 +359,15 @@ def match_profiles(profiles: DataFrame, id_col: str = "id", source_col: str = "d
     """(id1, id2, confidence), id1 < id2: profiles of different sources that stand for the same thing.
 
     Candidates are the pairs whose title vectors differ by at most ``radius`` bits, or whose vectors of the title's head do
-    by at most ``head_radius`` (titles that are cut). Confidences come from the levels of title, author, year, venue, page,
+    by at most ``head_radius`` (titles that are cut), unless both years are known and more than one apart. Confidences come from the levels of title, author, year, venue, page,
     part and length agreement. As a source has at most one profile of a thing, a pair is kept if neither side has a
     better partner in the other's source, and if its confidence is at least ``least``. Profiles without a title, null ids
     and null sources match nothing; an id delivered again counts once.
     """
     rows = checkpoint(profile_features(profiles, id_col, source_col, attributes_col))
-    vectors = lambda c: rows.where(F.size(c) > 0).select("id", "ds", F.col(c).alias("hashes"))
-    whole = hamming_pairs(vectors("title"), HammingScheme(radius, radius * 7 // 10))
-    heads = hamming_pairs(vectors("head"), HammingScheme(head_radius, head_radius * 7 // 10))
+    vectors = lambda c: rows.where(F.size(c) > 0).select("id", "ds", "year", F.col(c).alias("hashes"))
+    whole = hamming_pairs(vectors("title"), HammingScheme(radius, radius // 2 + 1))
+    heads = hamming_pairs(vectors("head"), HammingScheme(head_radius, head_radius // 2 + 1))
     pairs = checkpoint(compared(whole.unionByName(heads).distinct(), rows))
     source = rows.select("id", "ds")
     sure = with_confidence(pairs).where(F.col("confidence") >= least).select("id1", "id2", "title_dice", "author_dice", "score", "confidence")

@@ -109,7 +109,10 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, scheme: Scheme, role: str, s
 
 
 def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, id, n, parity, *carry) from (id, hashes array<long>, *carry); parity is a 64-bit exclusive-or image of the set."""
+    """(key, id, n, parity, parity2, *carry) from (id, hashes array<long>, *carry); the parities are a 128-bit exclusive-or image of the set.
+
+    The images of two sets differ in no more bits than the sets in members.
+    """
     shared = None if sketch is None else sets.sparkSession.sparkContext.broadcast(sketch)
     kinds = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in carry)
     kind = sets.schema["id"].dataType.simpleString()
@@ -122,12 +125,19 @@ def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarra
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = lists.flatten().to_numpy().view(U)
                 at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
-                parity = np.bitwise_xor.reduceat(U(1) << (mix(flat ^ U(0x2545F4914F6CDD1D)) & U(63)), np.cumsum(sizes) - sizes)
+                place = mix(flat ^ U(0x2545F4914F6CDD1D)) & U(127)
+                bit, begins = U(1) << (place & U(63)), np.cumsum(sizes) - sizes
+                parities = [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, U(0)), begins) for low in (True, False)]
                 take = pa.array(at)
-                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), pa.array(parity[at].view(np.int64)), *(part.column(2 + k).take(take) for k in range(len(carry)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", *carry])
+                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in parities), *(part.column(2 + k).take(take) for k in range(len(carry)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", "parity2", *carry])
+
+    return map_arrow(sets.select("id", "hashes", *carry), run, f"key long, id {kind}, n int, parity long, parity2 long{kinds}")
+
 
-    return map_arrow(sets.select("id", "hashes", *carry), run, f"key long, id {kind}, n int, parity long{kinds}")
+def image_distance() -> Column:
+    """The bits in which the images of both sides of a join of signature rows differ."""
+    return F.bit_count(F.col("parity_1").bitwiseXOR(F.col("parity_2"))) + F.bit_count(F.col("parity2_1").bitwiseXOR(F.col("parity2_2")))
 
 
 def similar_set_pairs(sets: DataFrame, threshold: float, slack: float = 1.3, label: str = "id") -> DataFrame:
@@ -140,12 +150,12 @@ def similar_set_pairs(sets: DataFrame, threshold: float, slack: float = 1.3, lab
     hashed = sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
     index = signature_rows(hashed, scheme, "index")
     sketch = frequency_sketch(index, F.col("key"))
-    a = index.select("key", F.col("id").alias("id1"), F.col("n").alias("n1"), F.col("parity").alias("p1"))
-    b = signature_rows(hashed, scheme, "probe", sketch).select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("parity").alias("p2"))
-    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2")))
-    close = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))) <= scheme.differ_column(F.col("n1"), F.col("n2"))
-    near = a.join(b, "key").where(smaller & (F.col("n1") >= F.col("n2") * threshold - EPS) & close)
-    candidates = near.select("id1", "id2").distinct()
+    side = lambda rows, k: rows.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "parity", "parity2")))
+    a, b = side(index, "_1"), side(signature_rows(hashed, scheme, "probe", sketch), "_2")
+    smaller = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("id_1") < F.col("id_2")))
+    close = image_distance() <= scheme.differ_column(F.col("n_1"), F.col("n_2"))
+    near = a.join(b, "key").where(smaller & (F.col("n_1") >= F.col("n_2") * threshold - EPS) & close)
+    candidates = near.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2")).distinct()
     one = sets.select(F.col("id").alias("id1"), F.col("items").alias("i1"), F.col(label).alias("a"))
     two = sets.select(F.col("id").alias("id2"), F.col("items").alias("i2"), F.col(label).alias("b"))
     common = F.size(F.array_intersect("i1", "i2"))

@@ -25,11 +25,13 @@ def test_hamming_is_exact(spark, radius, chunks):
     rnd = random.Random(radius)
     base = [set(rnd.sample(range(256), rnd.randint(3, 50))) for _ in range(30)]
     sets = [s for b in base for s in (b, b ^ set(rnd.sample(range(256), rnd.randint(0, 24))))]
-    rows = [(k, rnd.choice("abc"), sorted(s)) for k, s in enumerate(sets) if s]
-    df = spark.createDataFrame(rows, "id long, ds string, hashes array<long>")
-    got = {tuple(sorted(r)) for r in hamming_pairs(df, HammingScheme(radius, chunks)).collect()}
-    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and len(set(a[2]) ^ set(b[2])) <= radius}
-    assert want <= got
+    rows = [(k, rnd.choice("abc"), sorted(s), rnd.choice([0, *range(2000, 2006)])) for k, s in enumerate(sets) if s]
+    df = spark.createDataFrame(rows, "id long, ds string, hashes array<long>, year int")
+    got = [tuple(r) for r in hamming_pairs(df, HammingScheme(radius, chunks)).collect()]
+    near = lambda x, y: not x or not y or abs(x - y) <= 1
+    ds = {r[0]: r[1] for r in rows}
+    want = {(a[0], b[0]) for a, b in itertools.permutations(rows, 2) if a[1] < b[1] and len(set(a[2]) ^ set(b[2])) <= radius and near(a[3], b[3])}
+    assert want <= set(got) and len(got) == len(set(got)) and all(ds[a] < ds[b] for a, b in got)
 
 
 def test_weights_rise():
