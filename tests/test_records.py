@@ -80,3 +80,20 @@ def test_runs(spark):
         ds = [d for x, d in rows if x == k and d is not None]
         assert counts[k] == (len(ds), len(set(ds)))
     assert posting_runs(df.limit(0), "first_doc", "n").count() == 0
+
+
+def test_queries_are_complete():
+    import __spark_entry__ as e
+
+    names, sql = e.queries(), e.oracle_sql()
+    assert set(sql) <= set(names) and {"p4_found", "p7_found", "js_self_join"} <= set(names)
+
+
+def test_library_does_without_the_optional_folder():
+    import re
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "samewise"
+    for f in root.rglob("*.py"):
+        if (root / "llm") not in f.parents:
+            assert not re.search(r"(from|import)\s+samewise\.llm", f.read_text()), f
