@@ -163,7 +163,8 @@ def minhash_candidates(df: DataFrame, id_col: str, text_col: str, threshold: flo
     from pyspark.ml.feature import HashingTF, MinHashLSH
 
     rows = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("tokens")).where(F.size("tokens") > 0)
-    hashed = HashingTF(numFeatures=features, binary=True, inputCol="tokens", outputCol="features").transform(rows).select("id", "features")
+    # written first: filters that Spark infers from the hashing would else run on records without tokens, which it refuses
+    hashed = checkpoint(HashingTF(numFeatures=features, binary=True, inputCol="tokens", outputCol="features").transform(rows).select("id", "features"))
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(hashed)
     near = model.approxSimilarityJoin(hashed, hashed, 1 - threshold + 1e-9, "distance")
     return near.select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2")).where("id1 < id2").distinct()
