@@ -98,16 +98,17 @@ def deletions(value: Column, k: int) -> Column:
 
 
 def ed_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q: int = 2) -> DataFrame:
-    """(id1, id2) that may have edit distance <= k, from (id, value).
+    """(id1, id2) with edit distance <= k, from (id, value).
 
     Texts with more than q k q-grams share one of their q k + 1 rarest at positions at most k apart. Two shorter texts
     may share none; they are joined on what is left after up to k deletions, which keeps them out of one common block.
+    Postings carry the text, so that a pair is verified where it is found, before anything is shuffled or deduplicated.
     """
     frequency = gram_frequency([left] if self_join else [left, right], q)
-    near = F.abs(F.length("value1") - F.length("value2")) <= k
+    near = (F.abs(F.length("value1") - F.length("value2")) <= k) & filters.ed_reached(F.col("value1"), F.col("value2"), k)
 
     def grams(frame: DataFrame) -> DataFrame:
-        return ed_postings(ordered_grams(frame, frequency, q), k, q).drop("sorted_pos")
+        return ed_postings(ordered_grams(frame, frequency, q), k, q).drop("sorted_pos").join(frame.select("id", "value"), "id")
 
     def short(frame: DataFrame) -> DataFrame:
         # fewer than q k + 1 grams: a length below q k + q
@@ -115,6 +116,6 @@ def ed_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q:
 
     a, s = grams(left), short(left)
     b, u = (a, s) if self_join else (grams(right), short(right))
-    by_gram = _sides(a, b, ["gram"], self_join, (F.abs(F.col("pos1") - F.col("pos2")) <= k) & (F.abs(F.col("n1") - F.col("n2")) <= k)).select("id1", "id2")
+    by_gram = _sides(a, b, ["gram"], self_join, (F.abs(F.col("pos1") - F.col("pos2")) <= k) & (F.abs(F.col("n1") - F.col("n2")) <= k) & near).select("id1", "id2")
     by_rest = _sides(s, u, ["rest"], self_join, near).select("id1", "id2")
     return by_gram.unionByName(by_rest).distinct()

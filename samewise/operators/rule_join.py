@@ -44,9 +44,16 @@ class Side:
                     rows = rows.where(F.size(tokens(F.col(f"v{k}"))) > 0)
         v = [f"v{k}" for k in range(len(names))]
         keyed = rows.withColumn("key", F.md5(F.to_json(F.struct(*v), {"ignoreNullFields": "false"})))
-        self.members = keyed.select("rec", "key")
-        contents = keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in v))
-        self.contents = checkpoint(contents.select(F.col("key").alias("id"), *v, *(tokens(F.col(f"v{k}")).alias(f"t{k}") for n, k in self.place.items() if (n, JS) in kinds)))
+        contents = keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in v)).withColumn("id", F.monotonically_increasing_id())
+        # written, which also fixes the serial numbers; pairs of these are much smaller than pairs of keys
+        self.contents = checkpoint(contents.select("id", "key", *v, *(tokens(F.col(f"v{k}")).alias(f"t{k}") for n, k in self.place.items() if (n, JS) in kinds)))
+
+        self.keyed = keyed.select("rec", "key")
+
+    @property
+    def members(self) -> DataFrame:
+        """(rec, id): the content of each record."""
+        return self.keyed.join(self.contents.select("key", "id"), "key").select("rec", "id")
 
     def frame(self, c: Condition) -> DataFrame:
         """(id, tokens) or (id, value) of the contents that have a value."""
@@ -56,7 +63,7 @@ class Side:
         return self.contents.select("id", F.col(f"v{k}").alias("value")).where(F.col("value").isNotNull())
 
     def columns(self, number: int) -> DataFrame:
-        return self.contents.select(F.col("id").alias(f"id{number}"), *(F.col(c).alias(f"{c}_{number}") for c in self.contents.columns if c != "id"))
+        return self.contents.select(F.col("id").alias(f"id{number}"), *(F.col(c).alias(f"{c}_{number}") for c in self.contents.columns if c not in ("id", "key")))
 
 
 def rule_column(rule: Rule, left: Side, right: Side) -> Column:
@@ -114,9 +121,10 @@ def join_with_rules(df: DataFrame, rule: Rule, id1: str, df2: DataFrame | None =
     right = left if self_join else Side(df2, id2 or id1, rule.conditions, "right", missing)
     found = candidate_pairs(rule, left, right, self_join, strategy, order, q).join(left.columns(1), "id1").join(right.columns(2), "id2").where(rule_column(rule, left, right)).select("id1", "id2")
     if output == "classes":
-        return found.select(F.col("id1").alias("class1"), F.col("id2").alias("class2"))
-    a = left.members.select(F.col("rec").alias("a"), F.col("key").alias("id1"))
-    b = right.members.select(F.col("rec").alias("b"), F.col("key").alias("id2"))
+        keys = lambda s, k: s.contents.select(F.col("id").alias(f"id{k}"), F.col("key").alias(f"class{k}"))
+        return found.join(keys(left, 1), "id1").join(keys(right, 2), "id2").select("class1", "class2")
+    a = left.members.select(F.col("rec").alias("a"), F.col("id").alias("id1"))
+    b = right.members.select(F.col("rec").alias("b"), F.col("id").alias("id2"))
     if self_join:
         same = left.columns(1).join(right.columns(2), F.col("id1") == F.col("id2")).where(rule_column(rule, left, right)).select("id1", "id2")
         across = found.join(a, "id1").join(b, "id2").where("a != b").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
@@ -134,7 +142,7 @@ def join_with_rules(df: DataFrame, rule: Rule, id1: str, df2: DataFrame | None =
 
 def members(df: DataFrame, rule: Rule, id_col: str, side: str = "left", missing: str = "condition_false") -> DataFrame:
     """(rec, key): the class of each record, as output="classes" names it."""
-    return Side(df, id_col, rule.conditions, side, missing).members
+    return Side(df, id_col, rule.conditions, side, missing).keyed
 
 
 def all_conditions_hold(pair_sets: list[DataFrame]) -> DataFrame:
