@@ -37,7 +37,7 @@ def js_postings(ranked: DataFrame, t: float) -> DataFrame:
 def _sides(left: DataFrame, right: DataFrame, on: list[str], self_join: bool, extra: Column) -> DataFrame:
     a = left.select(*on, *(F.col(c).alias(f"{c}1") for c in left.columns if c not in on))
     b = right.select(*on, *(F.col(c).alias(f"{c}2") for c in right.columns if c not in on))
-    return a.join(b, on).where(extra & (F.col("id1") < F.col("id2")) if self_join else extra)
+    return a.join(b, on).where((F.col("id1") < F.col("id2")) & extra if self_join else extra)
 
 
 def js_candidates(left: DataFrame, right: DataFrame, t: float, self_join: bool) -> DataFrame:
