@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.bpe import LETTER, class_table
+from samewise.llm.bpe import LETTER, NUMBER, OTHER, class_table
 from samewise.llm.sketch import mix
 from samewise.session import map_arrow
 
@@ -29,7 +29,8 @@ ADVERTS = [
 ]
 ADVERT = re.compile(r"https?:|www\.|\.(?:com|net|org|example)\b|\. example\b|-= | =-|" + "|".join(ADVERTS))
 
-
+# Characters of no width, as byte order marks.
+INVISIBLE = [0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF]
 BRACKETS = [("<", ">"), ("{", "}"), ("[", "]"), ("(", ")")]
 
 
@@ -37,7 +38,8 @@ def spoken_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, sentence, text) of every spoken word of the texts; sentences are numbered through all texts.
 
     Words are runs of letters, a character of a script without blanks being a word of its own; so cue numbers hold none, nor
-    do times of any notation (lines with an arrow are left out). A cue is a series of lines with letters. Left out are what stands in angle, curly, square or round
+    do times of any notation (lines with an arrow are left out). A cue is a series of lines that show something besides numbers and times, even
+    if it is only notes. Left out are what stands in angle, curly, square or round
     brackets (to the end of the cue if they aren't closed), cues with a note or beginning with # or * (songs, sounds), cues
     that advertise, and a word right before a colon (a speaker's name).
     """
@@ -47,17 +49,23 @@ def spoken_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, lowered), np.int64, len(texts)) + 2
     first = np.cumsum(lengths) - lengths
     n = len(cp)
-    letter = class_table()[np.minimum(cp, 0x10FFFF)] == LETTER
+    kind = class_table()[np.minimum(cp, 0x10FFFF)]
+    letter = kind == LETTER
     newline = (cp == 10) | (cp == 13)
+    newline[:-1] &= (cp[:-1] != 13) | (cp[1:] != 10)  # CR LF ends one line
     line = np.cumsum(newline) - newline
-    has_letter = np.zeros(line[-1] + 1, bool)
-    has_letter[line[letter]] = True
-    timed = np.zeros(len(has_letter), bool)
-    timed[line[:-1][(cp[:-1] == 45) & (cp[1:] == 62)]] = True  # a line with an arrow holds times and positions
-    has_letter &= ~timed
-    # cue number of each line: a new one begins after a line without letters
-    begins = has_letter.copy()
-    begins[1:] &= ~has_letter[:-1]
+    # a line of the cue itself has letters or signs; one with an arrow holds times and positions, one of digits and their punctuation a number
+    mark = (kind == OTHER) & (cp > 32) & ~np.isin(cp, INVISIBLE)
+    has_mark, has_digit, has_text, timed = np.zeros((4, line[-1] + 1), bool)
+    has_mark[line[mark]] = True
+    has_digit[line[kind == NUMBER]] = True
+    has_text[line[letter | mark & ~np.isin(cp, [ord(c) for c in ".,:;-"])]] = True
+    has_text |= has_mark & ~has_digit
+    timed[line[:-1][(cp[:-1] == 45) & (cp[1:] == 62)]] = True
+    has_text &= ~timed
+    # cue number of each line: a new one begins after a line without text
+    begins = has_text.copy()
+    begins[1:] &= ~has_text[:-1]
     cue = np.cumsum(begins)[line]
     bad = np.zeros(cue[-1] + 1, bool)
     place = np.arange(n)
@@ -69,10 +77,10 @@ def spoken_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inside |= (opened > closed) & (cue[opened] == cue)
     keep = letter & ~inside & ~timed[line]
     # the first visible character of each cue, dashes and brackets aside
-    visible = np.flatnonzero(has_letter[line] & ~inside & (cp > 32) & ~np.isin(cp, [ord(c) for c in "->}])"]))
+    visible = np.flatnonzero(has_text[line] & ~inside & (cp > 32) & ~np.isin(cp, [ord(c) for c in "->}])"]))
     cue_first = np.full(len(bad), n, np.int64)
     np.minimum.at(cue_first, cue[visible], visible)
-    notes = np.flatnonzero((cp == 0x266A) | (cp == 0x266B))
+    notes = np.flatnonzero(((cp == 0x266A) | (cp == 0x266B)) & has_text[line])
     bad[cue[notes]] = True
     starts = cue_first[cue_first < n]
     sung = starts[(cp[starts] == 35) | (cp[starts] == 42)]

@@ -110,6 +110,17 @@ def test_spoken_words():
     assert len(set(sentence[:4])) == 1 and sentence[4] != sentence[3]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_cues_of_notes_only_leave_the_spoken_ones(end):
+    after = "1\n00:00:01,000 --> 00:00:02,000\nThe cat is big.\n\n2\n00:00:03,000 --> 00:00:04,000\n♪ ♪\n\n3\n0:05 --> 0:06\n- ♪ ♪\n\n4\n0:07 --> 0:08\nGo now"
+    before, song = "1\n0:01 --> 0:02\n♪ ♪\n\n2\n0:03 --> 0:04\nRun", "1\n0:01 --> 0:02\n♪ la la\nla na ♪\n\n2\n0:03 --> 0:04\n♪ ♪\nla la\n♪ ♪\n\n3\n0:05 --> 0:06\n#\nla la\n#"
+    texts = [t.replace("\n", end) for t in ("Sit", before, after, "Hello", song, "[door\ncreaks] Go")]
+    bucket, sentence, doc = spoken_words(texts)
+    assert np.bincount(doc, minlength=6).tolist() == [1, 1, 6, 1, 0, 1]
+    words = spoken_words(["Sit", "Run", "The cat is big. Go now", "Hello", "", "Go"])
+    assert bucket.tolist() == words[0].tolist() and sentence.tolist() == words[1].tolist()
+
+
 def test_levels(spark):
     rnd = random.Random(5)
     easy, hard, foreign = "cat dog sun big red".split(), "ontology epistemic heuristic normative axiom".split(), "le chien rouge est grand".split()
