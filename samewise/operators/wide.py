@@ -67,7 +67,7 @@ class Attribute:
     kind: str | Callable[[Column], Column] = "text"
 
 
-def attribute_grid(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = ()) -> DataFrame:
+def attribute_grid(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = (), others: bool = False) -> DataFrame:
     """(entity, cells): for each entity an array with one cell an attribute, in the order of ``attributes``.
 
     A cell is the array of the distinct non-blank values, oldest first by the columns ``versions`` and then by value;
@@ -77,20 +77,36 @@ def attribute_grid(rows: DataFrame, entity: str, attr: str, value: str, attribut
     One shuffle, on the entity: values are reduced to distinct ones, the grid of entities and attributes is completed and
     left-joined to them (on the entity, with the position as a further condition, so that the partitioning serves the
     join) and collected where they are. A cell is as long as the distinct values of its entity under its attribute.
+
+    With ``others``, a third column ``others`` maps every further non-null attribute name of the entity to such an array.
     """
     place = {a.name.strip().lower(): k for k, a in enumerate(attributes)}
     position = F.create_map(*(F.lit(x) for pair in place.items() for x in pair))
     stamps = [F.col(v).alias(f"v{k}") for k, v in enumerate(versions)]
-    flat = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), F.element_at(position, F.lower(strip(F.col(attr)))).alias("pos"), F.when(~is_blank(F.col(value)), F.col(value)).alias("value"), *stamps)
+    name = F.lower(strip(F.col(attr)))
+    pos = F.element_at(position, name)
+    named = ["name"] if others else []  # further attributes share the last position
+    if others:
+        pos = F.when(name.isNotNull(), F.coalesce(pos, F.lit(len(attributes))))
+        stamps.append(name.alias("name"))
+    flat = rows.where(F.col(entity).isNotNull()).select(F.col(entity).alias("entity"), pos.alias("pos"), F.when(~is_blank(F.col(value)), F.col(value)).alias("value"), *stamps)
     flat = flat.repartition("entity")
-    latest = [F.max(f"v{k}").alias(f"v{k}") for k in range(len(stamps))]
-    kept = flat.where("pos is not null and value is not null").groupBy("entity", "pos", "value").agg(*latest, F.lit(1).alias("one"))
-    order = [*(f"v{k}" for k in range(len(stamps))), "value"]
-    values = kept.groupBy("entity", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("found")).select(F.col("entity").alias("e"), F.col("pos").alias("at"), F.transform("found", lambda x: x["value"]).alias("found"))
-    grid = flat.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, range(len(attributes))))).alias("pos"))
+    latest = [F.max(f"v{k}").alias(f"v{k}") for k in range(len(versions))]
+    kept = flat.where("pos is not null and value is not null").groupBy("entity", "pos", *named, "value").agg(*latest, F.lit(1).alias("one"))
+    order = [*(f"v{k}" for k in range(len(versions))), "value", *named]
+    found = [F.col("found")[c].alias(c) for c in ("value", *named)]
+    values = kept.groupBy("entity", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("found")).select(F.col("entity").alias("e"), F.col("pos").alias("at"), *found)
+    grid = flat.select("entity").distinct().select("entity", F.explode(F.array(*map(F.lit, range(len(attributes) + others)))).alias("pos"))
     cells = grid.join(values, (F.col("entity") == F.col("e")) & (F.col("pos") - F.col("at") == 0), "left")
-    ordered = cells.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("pos", "found"))).alias("cells"))
-    return ordered.select("entity", F.transform("cells", lambda c: c["found"]).alias("cells"))
+    ordered = cells.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("pos", "value", *named))).alias("found"))
+    cells = F.transform("found", lambda c: c["value"])
+    if not others:
+        return ordered.select("entity", cells.alias("cells"))
+    last = F.get("found", F.lit(len(attributes)))
+    pairs = F.arrays_zip(last["name"].alias("k"), last["value"].alias("v"))
+    of = lambda k: F.transform(F.filter(pairs, lambda p: p["k"] == k), lambda p: p["v"])
+    rest = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(last["name"])), lambda k: F.struct(k.alias("key"), of(k).alias("value"))))
+    return ordered.select("entity", cells.alias("cells"), F.coalesce(rest, F.create_map().cast("map<string,array<string>>")).alias("others"))
 
 
 def cell_value(cell: Column, kind: str | Callable[[Column], Column]) -> Column:
@@ -102,13 +118,15 @@ def cell_value(cell: Column, kind: str | Callable[[Column], Column]) -> Column:
     return F.get(F.filter(F.transform(F.reverse(cell), kind), lambda x: x.isNotNull()), F.lit(0))
 
 
-def wide_table(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = ()) -> DataFrame:
+def wide_table(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = (), others: str | None = None) -> DataFrame:
     """One row an entity with a typed column for each attribute; see attribute_grid and Attribute.
 
     A scalar cell without a readable value is null, a list cell without values empty. An empty table gives an empty result.
+    ``others`` names a last column: a map of all attribute names without a column to their distinct values.
     """
-    grid = attribute_grid(rows, entity, attr, value, attributes, versions)
-    return grid.select(F.col("entity").alias(entity), *(cell_value(F.get("cells", F.lit(k)), a.kind).alias(a.name) for k, a in enumerate(attributes)))
+    grid = attribute_grid(rows, entity, attr, value, attributes, versions, others is not None)
+    rest = [] if others is None else [F.col("others").alias(others)]
+    return grid.select(F.col("entity").alias(entity), *(cell_value(F.get("cells", F.lit(k)), a.kind).alias(a.name) for k, a in enumerate(attributes)), *rest)
 
 
 def unreadable_cells(rows: DataFrame, entity: str, attr: str, value: str, attributes: list[Attribute], versions: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.operators.posting_runs import key_counts, posting_runs
@@ -12,6 +12,9 @@ from samewise.queries.tables import table
 YEAR, VOLUME, MDATE = Attribute("year", read_number(1900, 2030)), Attribute("volume", read_number(1, 999)), Attribute("mdate", read_date)
 TYPED = [YEAR, VOLUME, MDATE]
 PUBLICATION = [Attribute("title"), Attribute("author", "list"), Attribute("booktitle"), Attribute("journal"), Attribute("publisher"), Attribute("pages"), YEAR, VOLUME, MDATE, Attribute("cite", "list"), Attribute("editor", "list")]
+RARE = [Attribute(c) for c in ("number", "cite-label", "publtype", "url", "note", "sub", "crossref", "note-type", "sup", "ee", "cdrom", "month")]
+NESTED_LISTS = [Attribute(c, "list") for c in ("author", "authors", "by")]  # dblp, acm, citations
+NESTED_TEXTS = [Attribute(c) for c in ("venue", "booktitle", "journal", "publtype", "title-bibtex", "name", "in", "date", "citation")]
 VERSIONS = ("updated_at", "loaded_at")
 
 
@@ -19,16 +22,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return unreadable_cells(table(spark, d, "key_values"), "profile_id", "attr_key", "attr_value", TYPED, VERSIONS)
 
 
+def _columns(attributes: list[Attribute]) -> list[Column]:
+    return [F.col(f"`{a.name}`").alias(a.name.replace("-", "_")) for a in attributes]
+
+
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
-    wide = wide_table(table(spark, d, "key_values"), "profile_id", "attr_key", "attr_value", PUBLICATION, VERSIONS)
+    wide = wide_table(table(spark, d, "key_values"), "profile_id", "attr_key", "attr_value", PUBLICATION + RARE, VERSIONS, "others")
     lists = [F.array_join(c, "|").alias(f"{c}s") for c in ("author", "cite", "editor")]
-    return wide.select("profile_id", "title", "booktitle", "journal", "publisher", "pages", "year", "volume", "mdate", *lists)
+    return wide.select("profile_id", "title", "booktitle", "journal", "publisher", "pages", "year", "volume", "mdate", *lists, *_columns(RARE), "others")
 
 
 def p4_nested(spark: SparkSession, d: str) -> DataFrame:
+    """n_authors counts the values of ``author``, which dblp has; acm and citations name theirs in one value, ``authors`` and ``by``."""
     rows = nested_to_rows(table(spark, d, "profiles").dropDuplicates(["id"]), "id", "attributes")
-    wide = wide_table(rows, "id", "attr_key", "attr_value", [YEAR, Attribute("title"), Attribute("author", "list"), Attribute("pages")])
-    return wide.select("id", "year", "title", F.size("author").alias("n_authors"), "pages")
+    wide = wide_table(rows, "id", "attr_key", "attr_value", [YEAR, Attribute("title"), Attribute("pages"), *NESTED_LISTS, *NESTED_TEXTS], others="others")
+    return wide.select("id", "year", "title", F.size("author").alias("n_authors"), "pages", *_columns(NESTED_LISTS + NESTED_TEXTS), "others")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -41,6 +41,32 @@ def test_wide(spark):
     assert wide_table(df.limit(0), "cells", "k", "value", SPEC).count() == 0
 
 
+def test_wide_keeps_further_attributes(spark):
+    df = spark.createDataFrame([*ROWS, (1, "Other", "x", 1), (1, "other ", "y", 1), (1, "z", " ", 1)], "cells long, k string, value string, pos int")
+    wide = wide_table(df, "cells", "k", "value", SPEC, ("pos",), "others")
+    assert {r[0]: r["others"] for r in wide.collect()} == {1: {"other": ["x", "y"]}, 2: {}, 3: {"other": ["1999"]}, 4: {}}
+    assert [tuple(r) for r in wide.drop("others").orderBy("cells").collect()] == [tuple(r) for r in wide_table(df, "cells", "k", "value", SPEC, ("pos",)).orderBy("cells").collect()]
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert set(x.split("(")[1].split("#")[0] for x in plan.split("\n") if "Exchange hashpartitioning" in x) == {"entity"}
+    assert wide_table(df.limit(0), "cells", "k", "value", SPEC, ("pos",), "others").count() == 0
+
+
+def test_wide_queries_keep_every_attribute(spark, tmp_path):
+    from samewise.queries.records import p4_nested, p4_wide
+
+    keys = ["title", "number", "cite-label", "publtype", "url", "note", "sub", "crossref", "note-type", "sup", "ee", "cdrom", "month", "tt"]
+    rows = spark.createDataFrame([(1, k, f"v {k}") for k in keys], "profile_id long, attr_key string, attr_value string")
+    rows.withColumns({c: F.current_timestamp() for c in ("updated_at", "loaded_at")}).write.parquet(str(tmp_path / "key_values.parquet"))
+    got = p4_wide(spark, str(tmp_path)).first().asDict()
+    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys[:-1]) and got["others"] == {"tt": ["v tt"]}
+    keys = ["venue", "booktitle", "journal", "publtype", "title-bibtex", "name", "in", "date", "citation"]
+    nested = [(1, [*((k, f"v {k}") for k in keys), ("author", "B"), ("author", "A"), ("authors", "C, D"), ("by", "E"), ("tt", "F")])]
+    spark.createDataFrame(nested, "id long, attributes array<struct<attr_key: string, attr_value: string>>").write.parquet(str(tmp_path / "profiles.parquet"))
+    got = p4_nested(spark, str(tmp_path)).first().asDict()
+    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys) and got["others"] == {"tt": ["F"]}
+    assert (got["author"], got["n_authors"], got["authors"], got["by"]) == (["A", "B"], 2, ["C, D"], ["E"])
+
+
 def test_wide_has_one_shuffle(spark):
     df = spark.createDataFrame(ROWS, "id long, k string, v string, u int")
     plan = wide_table(df, "id", "k", "v", SPEC, ("u",))._jdf.queryExecution().executedPlan().toString()
