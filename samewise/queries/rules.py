@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.functions.text import normalize, qgrams, tokens, word_set
+from samewise.functions.text import normalize, qgrams, strip, tokens, word_set
 from samewise.operators.candidates import ed_postings, gram_frequency, js_postings, ordered_grams, ordered_tokens, token_frequency
 from samewise.operators.evaluate import pairs_quality, translate_pairs
 from samewise.operators.rule_join import all_conditions_hold, clustered_join, join_with_rules, minhash_candidates
@@ -86,7 +86,7 @@ def attribute_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def field_values(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "key_values").select(F.col("profile_id").alias("id"), "attr_key", "attr_value")
+    rows = table(spark, d, "key_values").select(F.col("profile_id").alias("id"), F.lower(strip(F.col("attr_key"))).alias("attr_key"), "attr_value")
     return extract_field(rows.where("attr_key = 'author'").distinct(), "author")
 
 

@@ -29,6 +29,14 @@ def test_attributes(spark):
     assert record_text(df.drop("l"), "id").first()["text"] == "x|y 3.5"
 
 
+def test_field_values_reads_any_notation_of_the_name(spark, tmp_path):
+    from samewise.queries.rules import field_values
+
+    rows = [(1, "author", "B"), (1, " Author", "A"), (1, "AUTHOR ", "B"), (2, "author\t", "C"), (3, "authors", "D"), (4, "author", None), (5, None, "E"), (6, "Author", " ")]
+    spark.createDataFrame(rows, "profile_id long, attr_key string, attr_value string").write.parquet(str(tmp_path / "key_values.parquet"))
+    assert {tuple(r) for r in field_values(spark, str(tmp_path)).collect()} == {(1, "a b"), (2, "c")}
+
+
 def test_ranks_and_entropy(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("n"), F.col("id").cast("string").alias("token"))
     got = [r["rank"] for r in ranked(df, "token", "n").orderBy("n", "token").collect()]
