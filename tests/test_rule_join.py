@@ -132,3 +132,13 @@ def test_text_functions(spark):
     rows = df.select(tokens(F.col("s")), qgrams(F.col("s"), 2)).collect()
     assert set(rows[0][0]) == {"a", "b", "c", "1"} and rows[1][0] == [] and rows[2][0] is None
     assert rows[1][1] == [] and rows[2][1] is None and [tuple(g) for g in rows[3][1]] == [("a", 0)]
+
+
+def test_two_table_rows_reads_whole_tables(spark, tmp_path):
+    from samewise.queries.rules import two_table_rows
+
+    rows = [(1, "red tree", "a", 1), (2, "tree red", "b", 20), (3, "red tree", "c", 50), (4, "blue", "d", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = two_table_rows(spark, str(tmp_path)).select("left_p_partkey", "left_p_brand", "right_p_partkey").collect()
+    assert {tuple(r) for r in got} == {(1, "a", 1), (1, "a", 2), (1, "a", 3), (2, "b", 1), (2, "b", 2), (2, "b", 3), (3, "c", 1), (3, "c", 2), (3, "c", 3), (4, "d", 4)}
+    assert len(got) == 10
