@@ -82,7 +82,7 @@ def entropy_ed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribute_rows(spark: SparkSession, d: str) -> DataFrame:
-    return to_attributes(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "s_suppkey")
+    return to_attributes(table(spark, d, "supplier"), "s_suppkey")
 
 
 def field_values(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +91,7 @@ def field_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_attributes_text(spark: SparkSession, d: str) -> DataFrame:
-    return record_text(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+    return record_text(table(spark, d, "part"), "p_partkey")
 
 
 # --- joins

@@ -37,6 +37,15 @@ def test_field_values_reads_any_notation_of_the_name(spark, tmp_path):
     assert {tuple(r) for r in field_values(spark, str(tmp_path)).collect()} == {(1, "a b"), (2, "c")}
 
 
+def test_attribute_queries_read_every_column(spark, tmp_path):
+    from samewise.queries.rules import all_attributes_text, attribute_rows
+
+    spark.createDataFrame([(7, "S", 3, -1.5)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, "red tree", "B#1", "TIN", 5, 9.25), (2, None, "B#2", None, 6, None)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    assert {tuple(r) for r in attribute_rows(spark, str(tmp_path)).collect()} == {(7, "s_name", "S"), (7, "s_nationkey", "3"), (7, "s_acctbal", "-1.5")}
+    assert {tuple(r) for r in all_attributes_text(spark, str(tmp_path)).collect()} == {(1, "red tree B#1 TIN 5 9.25"), (2, "B#2 6")}
+
+
 def test_ranks_and_entropy(spark):
     df = spark.range(1000).select((F.col("id") % 37).alias("n"), F.col("id").cast("string").alias("token"))
     got = [r["rank"] for r in ranked(df, "token", "n").orderBy("n", "token").collect()]
