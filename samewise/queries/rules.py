@@ -65,7 +65,7 @@ def js_prefix_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ed_prefix_index(spark: SparkSession, d: str) -> DataFrame:
-    frame = _values(_films(spark, d), "doc_id", "director").where("value rlike '^[a-z .,]+$'")
+    frame = _values(_films(spark, d), "doc_id", "director")
     return ed_postings(ordered_grams(frame, gram_frequency([frame], Q), Q), 2, Q).select("gram", "id", "pos", (F.col("sorted_pos") + 1).alias("sorted_pos"), "n")
 
 
@@ -116,10 +116,6 @@ def ed_self_join_short(spark: SparkSession, d: str) -> DataFrame:
 FILM_RULE = (js("title", 0.8) & js("director", 0.7)) | (js("cast_list", 0.7) & ed("title", 2))
 
 
-def _ascii_films(spark: SparkSession, d: str) -> DataFrame:
-    return _films(spark, d).where(r"title rlike '^[\\x01-\\x7f]*$' or title is null")
-
-
 def rule_and(spark: SparkSession, d: str) -> DataFrame:
     return join_with_rules(_films(spark, d), js("title", 0.5) & js("director", 0.5) & js("cast_list", 0.3), "doc_id")
 
@@ -129,24 +125,24 @@ def rule_or(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rule_dnf(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), FILM_RULE, "doc_id")
+    return join_with_rules(_films(spark, d), FILM_RULE, "doc_id")
 
 
 def rule_from_table(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "rules").where("rule_id = 'r2'").collect()  # a rule's conditions, a fixed few
-    return join_with_rules(_ascii_films(spark, d), from_rows(rows), "doc_id")
+    return join_with_rules(_films(spark, d), from_rows(rows), "doc_id")
 
 
 def rule_text_form(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), parse_rule("title|JS|0.8,director|JS|0.7;cast_list|JS|0.7,title|ED|2"), "doc_id")
+    return join_with_rules(_films(spark, d), parse_rule("title|JS|0.8,director|JS|0.7;cast_list|JS|0.7,title|ED|2"), "doc_id")
 
 
 def rule_missing_drop(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), FILM_RULE, "doc_id", missing="drop_record")
+    return join_with_rules(_films(spark, d), FILM_RULE, "doc_id", missing="drop_record")
 
 
 def rule_same_attribute(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), js("title", 0.6) & ed("title", 4), "doc_id")
+    return join_with_rules(_films(spark, d), js("title", 0.6) & ed("title", 4), "doc_id")
 
 
 def join_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -173,7 +169,7 @@ def two_table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chain(spark: SparkSession, d: str, strategy: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), FILM_RULE, "doc_id", strategy=strategy)
+    return join_with_rules(_films(spark, d), FILM_RULE, "doc_id", strategy=strategy)
 
 
 def chain_strategy(spark: SparkSession, d: str) -> DataFrame:
@@ -185,11 +181,11 @@ def dedup_strategy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_by_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), FILM_RULE, "doc_id", order="entropy_desc")
+    return join_with_rules(_films(spark, d), FILM_RULE, "doc_id", order="entropy_desc")
 
 
 def ordered_by_block_size(spark: SparkSession, d: str) -> DataFrame:
-    return join_with_rules(_ascii_films(spark, d), FILM_RULE, "doc_id", order="block_size_asc")
+    return join_with_rules(_films(spark, d), FILM_RULE, "doc_id", order="block_size_asc")
 
 
 def _sets(spark: SparkSession, d: str) -> list[DataFrame]:

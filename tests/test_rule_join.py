@@ -142,3 +142,28 @@ def test_two_table_rows_reads_whole_tables(spark, tmp_path):
     got = two_table_rows(spark, str(tmp_path)).select("left_p_partkey", "left_p_brand", "right_p_partkey").collect()
     assert {tuple(r) for r in got} == {(1, "a", 1), (1, "a", 2), (1, "a", 3), (2, "b", 1), (2, "b", 2), (2, "b", 3), (3, "c", 1), (3, "c", 2), (3, "c", 3), (4, "d", 4)}
     assert len(got) == 10
+
+
+def test_film_queries_keep_accents(spark, tmp_path):
+    from samewise.queries import rules as r
+
+    people, cast = ["Zoë Àb", "Zoë Àb", "Bo 2", None], ["ann lee, jo", "ann lee, jo", "jo", " "]
+    titles = ["Amélie runs far", "Amèlie runs far", "Amélie runs", "red tree house", "red tree hous€", "日本 one two", "日木 one two", None, "Amélie runs far", "red tree house"]
+    films = [{"doc_id": i, "id": i, "title": t, "director": people[k % 4], "cast_list": cast[k % 3]} for i, (k, t) in enumerate(itertools.product(range(4), titles))]
+    spark.createDataFrame(films, "doc_id long, title string, director string, cast_list string").write.parquet(str(tmp_path / "films.parquet"))
+    conditions = [("r2", b, c.left, c.kind, float(c.threshold)) for b, block in enumerate(r.FILM_RULE.blocks) for c in block]
+    spark.createDataFrame(conditions, "rule_id string, and_block int, attr_name string, rule_type string, threshold double").write.parquet(str(tmp_path / "rules.parquet"))
+    whole = [f for f in films if all(toks(f[c]) for c in ("title", "director", "cast_list"))]
+    want = {"rule_missing_drop": brute(r.FILM_RULE, whole), "rule_same_attribute": brute(js("title", 0.6) & ed("title", 4), films)}
+    names = ["rule_dnf", "rule_from_table", "rule_text_form", "rule_missing_drop", "rule_same_attribute", "chain_strategy", "dedup_strategy", "ordered_by_entropy", "ordered_by_block_size"]
+    assert any(not films[a]["title"].isascii() for a, _ in want["rule_missing_drop"])
+    for name in names:
+        got = [tuple(x) for x in getattr(r, name)(spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want.get(name, brute(r.FILM_RULE, films)), name
+    index = {(x["id"], x["gram"], x["pos"]) for x in r.ed_prefix_index(spark, str(tmp_path)).collect()}
+    grams = lambda v: [(v[i : i + 2], i) for i in range(max(len(v) - 1, 1))]
+    df = {}
+    for f in films:
+        for g, _ in grams((f["director"] or "").lower()):
+            df[g] = df.get(g, 0) + 1
+    assert index == {(f["id"], g, i) for f in films if f["director"] for g, i in sorted(grams(f["director"].lower()), key=lambda x: (df[x[0]], *x))[:5]}
