@@ -1,183 +1,29 @@
 """Matching profiles of several sources without a common key.
 
 Attributes become fixed bit vectors of q-grams, close pairs are found exactly by multi-index Hamming hashing, and their
-field-weighted Dice scores become confidences, calibrated without labels.
+field-weighted Dice scores become calibrated confidences, without labels: as a source has at most one profile of a thing,
+close pairs within one source are known to be different.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.llm.near_dup import image_distance, signature_rows
-from samewise.llm.sketch import frequency_sketch, mix
-from samewise.session import checkpoint, map_arrow
+from samewise.llm.near_dup import image_distance, images, signatures
+from samewise.llm.profile_fields import AUTHOR_BITS, COLUMNS, SCHEMA, TITLE_BITS, VENUE_CODES, field_columns
+from samewise.llm.sketch import BUCKETS, frequency_sketch, mix
+from samewise.session import checkpoint, forget, map_arrow
 
 U = np.uint64
-#: Bits of a title's and of an authors' vector.
-TITLE_BITS, AUTHOR_BITS = 512, 256
-#: Characters of a title that its head is made of.
-HEAD = 28
-
-# What the sources call the same attribute; a whole citation holds all of them.
-FIELDS = {
-    "title": ["title", "title-bibtex", "name"],
-    "authors": ["authors", "author", "by"],
-    "venue": ["venue", "booktitle", "journal", "in"],
-    "year": ["year", "date"],
-    "pages": ["pages"],
-    "citation": ["citation"],
-}
-FIELD_OF = {name: field for field, names in FIELDS.items() for name in names}
-# Words that stand for a missing value.
-MISSING = {"", "n.a.", "n.a", "n.?.", "n/a", "na", "none", "null", "unknown", "-", "?"}
-# Words that mark a later sequel; such a mark counts as a part of its own.
-SEQUEL, SEQUEL_PART = {"revisited"}, 100
-ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6}
-
-_PAGES = re.compile(r"[,\s]*(?:pp?\.?\s*)?(\d+)\s*-+\s*(\d+)\s*$")
-_YEAR = re.compile(r"(?<!\d)(\d{4})(?!\d)|'(\d{2})(?!\d)")
-_PART = re.compile(r"[\s,:-]*\bpart\s+([ivx]+|\d+)\b")
-_SPLIT = re.compile(r"\s+and\s+|\s*[;&,]\s*")
-
-
-def plain(text: str) -> str:
-    """Lower-cased; text decoded with the wrong encoding, even twice, is set right; compatibility forms and accents resolved."""
-    for _ in range(3):
-        if "\u00c3" not in text and "\u00c2" not in text:
-            break
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except UnicodeError:
-            try:
-                text = text.encode("latin-1").decode("utf-8")
-            except UnicodeError:
-                break
-    return "".join(c for c in unicodedata.normalize("NFKD", text).lower() if not unicodedata.combining(c))
-
-
-def split_citation(text: str) -> dict[str, str]:
-    """The parts of ``authors. title. venue, year pp. pages``; parts that are missing are empty."""
-    out = dict.fromkeys(("authors", "title", "venue", "year", "pages"), "")
-    if m := _PAGES.search(text):
-        if re.search(r"pp?\.?\s*$", text[: m.start(1)]):
-            out["pages"], text = m.group(1) + "-" + m.group(2), text[: m.start()]
-    head, comma, tail = text.rpartition(",")
-    if comma and (_YEAR.search(tail) or not tail.strip()):
-        out["year"], text = tail.strip(), head
-    if re.search(r"\.\s*$", text) and text != text.rstrip():
-        parts = [*re.split(r"\.\s+", text.rstrip()), ""]
-    else:
-        parts = re.split(r"\.\s+", text)
-    parts = [p.strip() for p in parts]
-    venue = [parts.pop()] if len(parts) > 1 else []
-    while len(parts) > 2 and venue[0] and len(parts[-1]) <= 5 and " " not in parts[-1]:
-        venue.insert(0, parts.pop())
-    out["venue"] = " ".join(v.strip(" .") for v in venue)
-    out["title"] = parts.pop() if parts else ""
-    out["authors"] = ". ".join(parts)
-    return out
-
-
-def surnames(text: str) -> list[str]:
-    """The surnames of a list of names in either order, with initials or whole given names; "et al." is no name."""
-    chunks = [c.strip(" .") for c in _SPLIT.split(text)]
-    out, k = [], 0
-    while k < len(chunks):
-        words = [w for w in re.split(r"[\s.]+", chunks[k]) if w]
-        k += 1
-        if not words or words[:2] == ["et", "al"]:
-            continue
-        if len(words) == 1:
-            out.append(words[0])
-            if k < len(chunks) and len([w for w in re.split(r"[\s.]+", chunks[k]) if w]) == 1:
-                k += 1  # the given name or initial after a surname and a comma
-        else:
-            out.append(words[-1])
-    return out
-
-
-def venue_key(text: str) -> str:
-    """The kind of a venue and the first letters of its topic, which long names, short names and acronyms share; empty if unknown."""
-    t = re.sub(r"^proc(?:eedings)?\b\.?\s*(?:of\s+)?(?:the\s+)?", "", plain(text)).strip(" .")
-    if t in MISSING or plain(text).strip() in MISSING:
-        return ""
-    if m := re.match(r"(?:jo\S{3,5} of|j\.?)\s+([a-z]{2})", t):
-        return "j" + m.group(1)
-    if m := re.match(r"in\S+ sym\S+ on\s+([a-z]{2})", t) or re.match(r"is([a-z]{2})s?\b", t):
-        return "s" + m.group(1)
-    return t[:4]
-
-
-def year_of(text: str) -> int:
-    """A year of four digits, or of two after an apostrophe; 0 if there is none."""
-    m = _YEAR.search(text)
-    if not m:
-        return 0
-    if m.group(1):
-        return int(m.group(1))
-    return (1900 if int(m.group(2)) > 40 else 2000) + int(m.group(2))
-
-
-def close_to(word: str, marks: set[str]) -> bool:
-    """The word is one of the marks but for one edit or a swap of neighbours."""
-    for m in marks:
-        if word == m or (abs(len(word) - len(m)) <= 1 and len(word) > 5):
-            a = next((k for k, (x, y) in enumerate(zip(word, m, strict=False)) if x != y), min(len(word), len(m)))
-            rest = (word[a + 1 :], m[a + 1 :], word[a:], m[a:])
-            if word == m or rest[0] == rest[1] or rest[0] == rest[3] or rest[2] == rest[1] or (rest[2][:2] == rest[3][1::-1] and rest[2][2:] == rest[3][2:]):
-                return True
-    return False
-
-
-def grams_of(text: str, q: int) -> set[str]:
-    words = re.findall(r"[a-z0-9]+", text)
-    return {p[i : i + q] for w in words for p in (f" {w} ",) for i in range(len(p) - q + 1)}
-
-
-@lru_cache(maxsize=1 << 16)
-def _bit(gram: str) -> int:
-    return int(mix(np.array([int.from_bytes(gram.encode()[:8].ljust(8, b"\0"), "little")], U))[0] >> U(20))
-
-
-def features(attributes: list[dict] | None) -> dict:
-    """The comparable fields of a profile: bits of title, head and surnames, year, venue key, first page, part number, whether the title is cut."""
-    by: dict[str, list[str]] = {}
-    for a in attributes or []:
-        if a and a["attr_key"] and a["attr_value"] and a["attr_value"].strip().lower() not in MISSING:
-            by.setdefault(FIELD_OF.get(a["attr_key"].strip().lower(), ""), []).append(a["attr_value"])
-    for text in by.get("citation", []):
-        for field, value in split_citation(text).items():
-            if value and not by.get(field):
-                by[field] = [value]
-    title = plain(" ".join(by.get("title", [])[:1])).strip()
-    cut = title.rstrip(" .").endswith("..") or "..." in title[-6:]
-    part = 0
-    if m := _PART.search(title):
-        part = ROMAN.get(m.group(1)) or (int(m.group(1)) if m.group(1).isdigit() else 0)
-        title = title[: m.start()] + title[m.end() :]
-    elif marks := [w for w in re.findall("[a-z]+", title) if close_to(w, SEQUEL)]:
-        part, title = SEQUEL_PART, re.sub(rf"\b{marks[-1]}\b", " ", title)
-    names = [n for a in by.get("authors", []) for n in surnames(plain(a))]
-    page = re.search(r"\d+", " ".join(by.get("pages", [])))
-    return {
-        "title": sorted({_bit(g) % TITLE_BITS for g in grams_of(title, 2)}),
-        "head": sorted({_bit(g) % TITLE_BITS for g in grams_of(" ".join(re.findall("[a-z0-9]+", title))[:HEAD], 2)}),
-        "authors": sorted({_bit(g) % AUTHOR_BITS for n in names for g in grams_of(n, 2)}),
-        "year": year_of(" ".join(by.get("year", []))),
-        "venue": venue_key(" ".join(by.get("venue", [])[:1])),
-        "page": int(page.group()) if page else -1,
-        "part": part,
-        "cut": cut,
-        "words": len(re.findall("[a-z0-9]+", title)),
-    }
+#: Words of the packed vectors.
+T_WORDS, A_WORDS = TITLE_BITS // 64, AUTHOR_BITS // 64
+#: A venue's code tells something if at most this share of the venues has it.
+TELLING = 0.1
 
 
 class HammingScheme:
@@ -204,134 +50,186 @@ class HammingScheme:
         return np.full(np.shape(high), self.chunks, np.int64)
 
 
-#: Years of a bucket of the index.
-YEARS = 3
-
-
-def hamming_pairs(vectors: DataFrame, scheme: HammingScheme) -> DataFrame:
-    """(id1, id2), the first from the source with the smaller name, of all pairs of different sources whose bit vectors
-    differ by at most the radius and whose years by at most one, distinct.
+def vector_rows(rows: DataFrame, words: list[str], scheme: HammingScheme, role: str, sketch: np.ndarray | None = None) -> DataFrame:
+    """(key, id, src, n, parity, parity2): the keys of each vector (long columns ``words``) that has a bit, and a 128-bit image of it."""
+    shared = None if sketch is None else rows.sparkSession.sparkContext.broadcast(sketch)
+    kind = rows.schema["id"].dataType.simpleString()
 
-    vectors: id, ds, year (0 if unknown, which is near to all), hashes (array<long>, the positions of the bits that are
-    set, at least one). No such pair is missed; a few that are further apart are left for the comparison. The year is part
-    of the key: a vector is looked up in the buckets of its own and the neighbouring years, and in that of unknown years.
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2048):  # bounds the memory of a step
+                part = batch.slice(a, 2048)
+                packed = np.stack([part.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(words))], axis=1)
+                row, bit = np.nonzero(np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little"))
+                sizes = np.bincount(row, minlength=len(packed))
+                some = np.flatnonzero(sizes)
+                if not len(some):
+                    continue
+                flat, sizes = mix(bit.astype(U) + U(1)), sizes[some]
+                at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
+                take = pa.array(some[at])
+                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in images(flat, sizes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "src", "n", "parity", "parity2"])
+
+    return map_arrow(rows.select("id", "src", *words), run, f"key long, id {kind}, src int, n int, parity long, parity2 long")
+
+
+def hamming_pairs(rows: DataFrame, words: list[str], scheme: HammingScheme, within: Column) -> DataFrame:
+    """(id1, id2), distinct, of all pairs whose vectors differ by at most the radius: of different sources, the first from the
+    one with the smaller number; and of one source, the smaller id first, if ``within`` holds for either of them.
+
+    rows: id, src (int) and the vectors' 64-bit words. No such pair is missed; a few that are further apart are left for
+    the comparison. Keys are exploded rows whose size Spark can't estimate, so they are joined by sorting, never broadcast.
     """
-    index = signature_rows(vectors, scheme, "index", carry=("ds", "year"))
+    index = vector_rows(rows, words, scheme, "index")
     sketch = frequency_sketch(index, F.col("key"))
-    probe = signature_rows(vectors, scheme, "probe", sketch, carry=("ds", "year"))
-    year, bucket_of = F.col("year"), lambda y: F.floor(y / YEARS).cast("int")
-    own = F.when(year == 0, -1).otherwise(bucket_of(year))
-    asked = F.when(year == 0, F.array(F.lit(-1))).otherwise(F.array_distinct(F.array(F.lit(-1), bucket_of(year - 1), bucket_of(year + 1))))
-    side = lambda rows, k: rows.select("slot", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "ds", "year", "n", "parity", "parity2")))
-    a = side(index.withColumn("slot", F.xxhash64("key", own)), 1)
-    b = side(probe.withColumn("asked", F.explode(asked)).withColumn("slot", F.xxhash64("key", "asked")), 2)
-    ordered = F.col("ds_1") < F.col("ds_2")
-    # an unknown year lies in a bucket of its own only, so such rows answer to the sources before and after theirs
-    sources = ordered | ((F.col("year_1") == 0) & (F.col("ds_1") != F.col("ds_2")))
-    years = (F.col("year_1") == 0) | (F.col("year_2") == 0) | (F.abs(F.col("year_1") - F.col("year_2")) <= 1)
-    close = (image_distance() <= scheme.radius) & (F.abs(F.col("n_1") - F.col("n_2")) <= scheme.radius)
-    found = a.join(b, "slot").where(sources & years & close)
-    return found.select(F.when(ordered, F.col("id_1")).otherwise(F.col("id_2")).alias("id1"), F.when(ordered, F.col("id_2")).otherwise(F.col("id_1")).alias("id2")).distinct()
-
-
-def profile_features(profiles: DataFrame, id_col: str, source_col: str, attributes_col: str) -> DataFrame:
-    """One row of features a profile; of rows with one id the first by content."""
+    # a profile of the first source meets others only as an index row; it asks for partners within its source alone
+    asking = rows.withColumn("src", F.when(within, -1 - F.col("src")).otherwise(F.col("src"))).where(F.col("src") != 0)
+    probe = vector_rows(asking, words, scheme, "probe", sketch)
+    side = lambda r, k: r.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "src", "n", "parity", "parity2")))
+    own = F.when(F.col("src_2") < 0, -1 - F.col("src_2")).otherwise(F.col("src_2"))
+    same = F.col("src_1") == own
+    wanted = (F.col("src_1") < own) | (same & (F.col("src_2") < 0) & (F.col("id_1") != F.col("id_2")))
+    close = (F.abs(F.col("n_1") - F.col("n_2")) <= scheme.radius) & (image_distance() <= scheme.radius)
+    found = side(index, 1).hint("merge").join(side(probe, 2), "key").where(wanted & close)
+    flip = same & (F.col("id_1") > F.col("id_2"))
+    return found.select(F.when(flip, F.col("id_2")).otherwise(F.col("id_1")).alias("id1"), F.when(flip, F.col("id_1")).otherwise(F.col("id_2")).alias("id2")).distinct()
+
+
+def profile_rows(profiles: DataFrame, id_col: str, source_col: str, attributes_col: str) -> DataFrame:
+    """One row of comparable fields a profile; of rows with one id the smallest by source and content."""
 
     def run(batches):
         for batch in batches:
-            rows = [features(x) for x in batch.column(2).to_pylist()]
-            lists = lambda name: pa.array([r[name] for r in rows], pa.list_(pa.int64()))
-            flat = [pa.array([r[n] for r in rows], t) for n, t in (("year", pa.int32()), ("venue", pa.string()), ("page", pa.int64()), ("part", pa.int32()), ("cut", pa.bool_()), ("words", pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists("title"), lists("head"), lists("authors"), *flat], names=["id", "ds", "title", "head", "authors", "year", "venue", "page", "part", "cut", "words"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *field_columns(batch.column(2))], names=["id", *COLUMNS])
 
     kind = profiles.schema[id_col].dataType.simpleString()
-    rows = profiles.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(source_col).alias("ds"), F.col(attributes_col).alias("a"))
-    out = map_arrow(rows, run, f"id {kind}, ds string, title array<long>, head array<long>, authors array<long>, year int, venue string, page long, part int, cut boolean, words int")
-    return out.dropDuplicates(["id"])
+    content = F.transform(F.coalesce(F.col(attributes_col), F.array()), lambda a: F.struct(a["attr_key"].alias("attr_key"), a["attr_value"].alias("attr_value")))
+    rows = profiles.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).select(F.col(id_col).alias("id"), F.struct(F.col(source_col).cast("string").alias("ds"), content.alias("a")).alias("c"))
+    rows = rows.groupBy("id").agg(F.min("c").alias("c")).select("id", "c.ds", "c.a")
+    return map_arrow(rows, run, f"id {kind}, {SCHEMA}")
 
 
-def as_words(bits: Column, size: int) -> list[Column]:
-    """A list of bit positions as 64-bit words."""
+def marked(rows: DataFrame, sources: int) -> DataFrame:
+    """The rows with ``common`` and ``rare`` words instead of words, and the bits of the telling venue codes (v0..v10) instead of codes.
+
+    A word is common if more profiles have it than one thing and a variant of it can have in all sources, by a frequency
+    sketch of fixed size (allowing for the mean load of its buckets). A venue code is telling if few venues have it.
+    """
+    spark, n = rows.sparkSession, VENUE_CODES // 64 + 1
+    words = frequency_sketch(rows.select(F.explode(F.array_distinct("words")).alias("w")), F.col("w"))
+    codes = np.zeros(VENUE_CODES)
+    for r in rows.select(F.explode("venue").alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect():  # at most a row a code
+        codes[r["v"]] = r["n"]
+    venues = rows.where(F.size("venue") > 0).count()
+    telling = spark.sparkContext.broadcast(codes <= max(TELLING * venues, 1.0))
+    common = spark.sparkContext.broadcast(words > 2 * sources + 4 * words.mean())
+    keep = [c for c in rows.columns if c not in ("words", "venue")]
+
+    def lists(column, mask):
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        own = np.repeat(np.arange(len(sizes)), sizes)[mask]
+        counts = np.bincount(own, minlength=len(sizes))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), column.flatten().filter(pa.array(mask)))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column(len(keep))
+            often = common.value[w.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % BUCKETS]
+            v = batch.column(len(keep) + 1)
+            code = v.flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(np.arange(batch.num_rows), v.value_lengths().to_numpy(zero_copy_only=False))
+            use = telling.value[code]
+            grid = np.zeros((batch.num_rows, n * 64), np.uint8)
+            grid[own[use], code[use]] = 1
+            packed = np.packbits(grid, axis=1, bitorder="little").view(np.int64).reshape(batch.num_rows, n)
+            columns = [*(batch.column(k) for k in range(len(keep))), lists(w, often), lists(w, ~often), *(pa.array(np.ascontiguousarray(packed[:, k])) for k in range(n))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "common", "rare", *(f"v{k}" for k in range(n))])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(rows.select(*keep, "words", "venue"), run, f"{kinds}, common array<int>, rare array<int>, " + ", ".join(f"v{k} long" for k in range(n)))
 
-    def word(k: int) -> Column:
-        # the functions take one argument each: a second one would be the index of the element
-        own = F.filter(bits, lambda b: F.floor(b / 64) == k)
-        return F.aggregate(F.transform(own, lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))), F.lit(0).cast("long"), lambda w, b: w.bitwiseOR(b))
 
-    return [word(k) for k in range(size // 64)]
+#: Levels of agreement of each field; each combination is a pattern, so their number is bounded whatever the data.
+#: title: Dice in twentieths (21: no title); authors: share of the shorter list in tenths (11: none); place: year and venue
+#: together; page: unknown, other, same; extra: common words in one title only, 0 to 3 (4: a title is cut); number: numerals
+#: of the titles, none, same, other (3: a title is cut).
+LEVELS = {"title": 22, "authors": 12, "place": 24, "page": 3, "extra": 5, "number": 4}
+#: Levels that say that a value is missing: they weigh nothing.
+SILENT = {"title": 21, "authors": 11, "place": 0, "page": 0}
+#: Scores are calibrated in bins of this width, from -SPAN to SPAN.
+WIDTH, SPAN = 0.5, 40.0
 
 
 def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs with the levels of agreement of each field."""
-    t, u = TITLE_BITS // 64, AUTHOR_BITS // 64
-    flat = rows.select("id", *(c.alias(f"t{k}") for k, c in enumerate(as_words(F.col("title"), TITLE_BITS))), *(c.alias(f"a{k}") for k, c in enumerate(as_words(F.col("authors"), AUTHOR_BITS))), F.size("title").alias("tn"), F.size("authors").alias("an"), "year", "venue", "page", "part", "cut", "words")
-    side = lambda k: flat.select(*(F.col(c).alias(f"{c}_{k}" if c != "id" else f"id{k}") for c in flat.columns))
-    both = pairs.join(side(1), "id1").join(side(2), "id2")
-    common = lambda c, n: sum((F.bit_count(F.col(f"{c}{k}_1").bitwiseAND(F.col(f"{c}{k}_2"))) for k in range(1, n)), F.bit_count(F.col(f"{c}0_1").bitwiseAND(F.col(f"{c}0_2"))))
-    dice = lambda c, n, z: F.try_divide(2 * common(c, n), F.col(f"{z}_1") + F.col(f"{z}_2"))
-    within = F.try_divide(common("t", t), F.least("tn_1", "tn_2"))
+    """The pairs (id1, id2) with ds1, ds2 and the levels of agreement of each field."""
+    n = VENUE_CODES // 64 + 1
+    side = lambda k: rows.select(*(F.col(c).alias(f"{c}_{k}" if c != "id" else f"id{k}") for c in rows.columns))
+    both = pairs.hint("merge").join(side(1), "id1").hint("merge").join(side(2), "id2")
+    total = lambda words: sum(words[1:], words[0])
+    bits = lambda c, size, k: total([F.bit_count(F.col(f"{c}{w}_{k}")) for w in range(size)])
+    shared = lambda c, size: total([F.bit_count(F.col(f"{c}{w}_1").bitwiseAND(F.col(f"{c}{w}_2"))) for w in range(size)])
+    sizes = {f"{c}n_{k}": bits(c, size, k) for c, size in (("t", T_WORDS), ("a", A_WORDS), ("v", n)) for k in (1, 2)}
+    both = both.withColumns(sizes | {f"{c}c": shared(c, size) for c, size in (("t", T_WORDS), ("a", A_WORDS), ("v", n))})
     cut = F.col("cut_1") | F.col("cut_2")
-    title = F.coalesce(F.when(cut, within).otherwise(dice("t", t, "tn")), F.lit(0.0))
-    authors = F.try_divide(common("a", u), F.least("an_1", "an_2"))
+    least = lambda c: F.least(f"{c}n_1", f"{c}n_2")
+    title = F.when(least("t") > 0, F.when(cut, F.col("tc") / least("t")).otherwise(2 * F.col("tc") / (F.col("tn_1") + F.col("tn_2"))))
+    authors = F.when(least("a") > 0, F.col("ac") / least("a"))
     gap = F.abs(F.col("year_1") - F.col("year_2"))
-    year = F.when((F.col("year_1") == 0) | (F.col("year_2") == 0), 0).when(gap == 0, 3).when(gap == 1, 2).otherwise(1)
-    venue = F.when((F.col("venue_1") == "") | (F.col("venue_2") == ""), 0).when(F.col("venue_1") == F.col("venue_2"), 2).otherwise(1)
+    year = F.when((F.col("year_1") == 0) | (F.col("year_2") == 0), 0).when(gap <= 2, gap + 1).when(gap <= 5, 4).otherwise(5)
+    venue = F.when(least("v") == 0, 0).when(F.col("vc") == 0, 1).when(F.col("vc") < least("v"), 2).otherwise(3)
     page = F.when((F.col("page_1") < 0) | (F.col("page_2") < 0), 0).when(F.col("page_1") == F.col("page_2"), 2).otherwise(1)
-    part = F.when(F.col("part_1") == F.col("part_2"), 2).when(F.col("cut_1") | F.col("cut_2"), 0).otherwise(1)
-    longer = F.when(cut, 0).when(F.abs(F.col("words_1") - F.col("words_2")) == 0, 2).otherwise(1)
-    level = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n), F.floor(c * n + F.lit(1e-9)))).cast("int")
-    levels = {"title": level(title, 20), "authors": F.coalesce(level(authors, 10), F.lit(11)), "year": year, "venue": venue, "page": page, "part": part, "longer": longer}
-    return both.select("id1", "id2", title.alias("title_dice"), authors.alias("author_dice"), *(c.cast("int").alias(n) for n, c in levels.items()))
+    # a common word of one title only counts, but not if it may be what another, perhaps misspelt, word of the other stands for
+    only = lambda c, a, b: F.size(F.array_except(f"{c}_{a}", f"{c}_{b}"))
+    alone = lambda a, b: F.greatest(F.lit(0), only("common", a, b) - only("common", b, a) - only("rare", b, a))
+    extra = F.when(cut, 4).otherwise(F.least(F.lit(3), alone(1, 2) + alone(2, 1)))
+    none = (F.size("numbers_1") == 0) & (F.size("numbers_2") == 0)
+    number = F.when(cut, 3).when(none, 0).when(F.col("numbers_1") == F.col("numbers_2"), 1).otherwise(2)
+    level = lambda c, n: F.least(F.lit(n), F.floor(c * n + F.lit(1e-9)))
+    levels = {"title": F.coalesce(level(title, 20), F.lit(21)), "authors": F.coalesce(level(authors, 10), F.lit(11)), "place": year * 4 + venue, "page": page, "extra": extra, "number": number}
+    return both.select("id1", "id2", F.col("ds_1").alias("ds1"), F.col("ds_2").alias("ds2"), F.coalesce(title, F.lit(0.0)).alias("title_dice"), F.coalesce(authors, F.lit(0.0)).alias("author_dice"), *(c.cast("int").alias(n) for n, c in levels.items()))
+
+
+@dataclass
+class Model:
+    """Log shares of the levels of each field by class, the log shares of the classes, and the confidence of each bin of scores.
+
+    The classes are matches, variants (alike in title and authors, but different things) and unrelated pairs.
+    """
 
+    shares: dict[str, np.ndarray] = field(default_factory=lambda: {n: np.zeros((3, k)) for n, k in LEVELS.items()})
+    classes: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(int(2 * SPAN / WIDTH)))
 
-#: Levels of agreement of each field; each combination is a pattern, so their number is bounded whatever the data.
-LEVELS = {"title": 21, "authors": 12, "year": 4, "venue": 3, "page": 3, "part": 3, "longer": 3}
-#: What a contradiction takes from a score.
-CONTRADICTION = 50.0
-#: Levels that say that a value is missing or can't be compared: they weigh nothing.
-SILENT = {"authors": 11, "year": 0, "venue": 0, "page": 0, "part": 0, "longer": 0}
+    def logs(self, patterns: np.ndarray) -> np.ndarray:
+        """[3, patterns]: the log of the share of each class and pattern."""
+        return self.classes[:, None] + sum(self.shares[n][:, patterns[:, k]] for k, n in enumerate(LEVELS))
 
+    def scores(self, patterns: np.ndarray) -> np.ndarray:
+        """The log odds of a match."""
+        match, *others = self.logs(patterns)
+        return match - np.logaddexp(*others)
 
-def contradicted(level: Callable[[str], object]) -> object:
-    """Versions in another venue and year, other parts, sequels: years two or more apart, parts or sequel marks that differ, or venues that differ and years that aren't known to be equal."""
-    return (level("year") == 1) | (level("part") == 1) | ((level("venue") == 1) & (level("year") != 3))
+    def bins(self, patterns: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((self.scores(patterns) + SPAN) / WIDTH), 0, len(self.curve) - 1).astype(np.int64)
 
+    def score(self) -> Column:
+        def log(c: int) -> Column:
+            look = [F.get(F.array(*(F.lit(float(x)) for x in w[c])), F.col(n)) for n, w in self.shares.items()]
+            return sum(look, F.lit(float(self.classes[c])))
 
-def fit_weights(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[dict[str, np.ndarray], float]:
-    """Log-likelihood ratios of each field's levels, and the log odds of a match, by expectation maximisation over patterns.
+        a, b = log(1), log(2)
+        return log(0) - F.greatest(a, b) - F.log1p(F.exp(-F.abs(a - b)))
 
-    patterns: [patterns, fields] levels; counts: the pairs with each. It starts from the pairs that agree in title,
-    authors and year; pairs that are contradicted count as different throughout. A missing value weighs nothing. The ratios of the two Dice scores are made to rise with the score.
-    """
-    names = list(LEVELS)
-    col = {n: patterns[:, k] for k, n in enumerate(names)}
-    apart = contradicted(col.__getitem__)
-    m = ((col["title"] >= 16) & (col["authors"] >= 7) & ~apart).astype(float) * 0.98 + 0.01
-    weights = {n: np.zeros(k) for n, k in LEVELS.items()}
-    odds = 0.0
-    for _ in range(steps):
-        yes, no = counts * m, counts * (1 - m)
-        odds = float(np.log((yes.sum() + 1) / (no.sum() + 1)))
-        for n, size in LEVELS.items():
-            heard = col[n] != SILENT.get(n, -1)
-            p, q = (np.bincount(col[n][heard], w[heard], size) + 0.5 for w in (yes, no))
-            if n in ("title", "authors"):
-                p, q = (np.convolve(x, [0.25, 0.5, 0.25], "same") for x in (p, q))
-            ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-            if n in ("title", "authors"):
-                last = size - (n == "authors")
-                ratio[:last] = _rising(ratio[:last], (p + q)[:last])
-            if n in SILENT:
-                ratio[SILENT[n]] = 0.0
-            weights[n] = np.clip(ratio, -12, 12)
-        before = m
-        m = np.where(apart, 0.0, 1 / (1 + np.exp(-np.clip(odds + sum(weights[n][col[n]] for n in names), -50, 50))))
-        if np.abs(m - before).max() < 1e-6:
-            break
-    return weights, odds
+    def confidence(self, score: Column) -> Column:
+        bin_ = F.greatest(F.lit(0), F.least(F.lit(len(self.curve) - 1), F.floor((score + SPAN) / WIDTH)))
+        return F.get(F.array(*(F.lit(float(x)) for x in self.curve)), bin_.cast("int"))
 
 
-def _rising(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+def rising(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """The non-decreasing sequence nearest to y in weighted squares (pool adjacent violators)."""
     blocks: list[list[float]] = []
     for v, u in zip(y.tolist(), w.tolist(), strict=True):
@@ -342,38 +240,145 @@ def _rising(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), v) for v, _, n in blocks]) if blocks else y
 
 
-def with_confidence(pairs: DataFrame) -> DataFrame:
-    """The compared pairs with ``score`` (weighted sum of the levels) and ``confidence``, the probability of a match by the fitted model."""
-    names = list(LEVELS)
-    rows = pairs.groupBy(*names).agg(F.count("*").alias("n")).collect()  # one row a pattern
-    if not rows:
-        return pairs.withColumns({"score": F.lit(None).cast("double"), "confidence": F.lit(None).cast("double")})
-    table = np.array([[r[n] for n in names] for r in rows], np.int64)
-    weights, odds = fit_weights(table, np.array([r["n"] for r in rows], float))
-    look = lambda n: F.get(F.array(*(F.lit(float(x)) for x in weights[n])), F.col(n))
-    score = sum((look(n) for n in names[1:]), look(names[0])) + F.lit(odds) - F.when(contradicted(F.col), F.lit(CONTRADICTION)).otherwise(0.0)
-    return pairs.withColumn("score", score).withColumn("confidence", 1 / (1 + F.exp(-F.col("score"))))
+def fit_weights(patterns: np.ndarray, across: np.ndarray, within: np.ndarray, ratio: float = 0.0, steps: int = 200) -> Model:
+    """The shares of the levels in each class, and of the classes, by expectation maximisation over patterns.
+
+    patterns: [patterns, fields] levels; across: pairs of different sources with each, matches or not; within: pairs of one
+    source, all of them different, of which there are ``ratio`` times as many across sources. The first step takes pairs
+    that agree in title and authors for matches, less the different ones of that kind expected at each level, and those of
+    one source for variants. A missing value weighs nothing.
+    """
+    col = {n: patterns[:, k] for k, n in enumerate(LEVELS)}
+    alike = (col["title"] >= 16) & (col["title"] < 21) & (col["authors"] >= 7)
+    cross = np.stack([np.where(alike, 0.9, 0.1), np.where(alike, 0.1, 0.0), np.where(alike, 0.0, 0.9)])
+    same = np.stack([np.zeros(len(alike)), alike, ~alike])
+    model, different = Model(), within * max(ratio, 1.0)
+    for step in range(steps):
+        counts = across * cross
+        # as many different pairs of each kind are expected across sources as there are within, times the ratio
+        sizes = np.maximum(counts.sum(axis=1), (different * same).sum(axis=1)) + 1
+        model.classes = np.log(sizes / sizes.sum())
+        counts = counts + different * same
+        for n, size in LEVELS.items():
+            heard = col[n] != SILENT.get(n, -1)
+            levels = np.stack([np.bincount(col[n][heard], c[heard], size) for c in counts])
+            if step == 0:
+                levels[0] = np.maximum(levels[0] - np.bincount(col[n][heard], (different * same[1])[heard], size), 0)
+            if n in ("title", "authors"):
+                levels = np.stack([np.convolve(x, [0.25, 0.5, 0.25], "same") for x in levels])
+            logs = np.log(levels + 0.5) - np.log((levels + 0.5).sum(axis=1, keepdims=True))
+            if n in SILENT:
+                logs[:, SILENT[n]] = 0.0
+            model.shares[n] = logs
+        before, logs = cross, model.logs(patterns)
+        cross = np.exp(logs - np.logaddexp.reduce(logs, axis=0))
+        same = np.concatenate([np.zeros((1, len(alike))), np.exp(logs[1:] - np.logaddexp(logs[1], logs[2]))])
+        if np.abs(cross - before).max(initial=0.0) < 1e-6:
+            break
+    return model
 
 
-def match_profiles(profiles: DataFrame, id_col: str = "id", source_col: str = "dataset", attributes_col: str = "attributes", radius: int = 20, head_radius: int = 10, least: float = 0.5) -> DataFrame:
+def match_rate(across: np.ndarray, within: np.ndarray, ratio: float) -> np.ndarray:
+    """The share of matches among the pairs across sources: what is left when the different pairs are taken away, of which
+    there are ``ratio`` times as many as of one source."""
+    return np.clip(1 - ratio * within / np.maximum(across, 1e-9), 0, 1)
+
+
+def calibrate(scored: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ratio: float) -> np.ndarray:
+    """The confidence of each bin of scores: its share of matches by match_rate, made to rise with the score.
+
+    scored: (bins, across, within) of patterns. The probability that the scores themselves stand for counts as half a pair
+    in each bin, so that a bin without pairs has that.
+    """
+    size = int(2 * SPAN / WIDTH)
+    c, w = (sum(np.bincount(at, n, size) for at, n in ((s[0], s[k]) for s in scored)) for k in (1, 2))
+    prior = 1 / (1 + np.exp(-((np.arange(size) + 0.5) * WIDTH - SPAN)))
+    return np.clip(rising((c * match_rate(c, w, ratio) + 0.5 * prior) / (c + 0.5), c + 0.5), 0.001, 0.999)
+
+
+def candidate_pairs(rows: DataFrame, within: Column, radius: int, title_radius: int) -> DataFrame:
+    """(id1, id2) of the profiles that are compared; see match_profiles and hamming_pairs."""
+    t, a = [f"t{k}" for k in range(T_WORDS // 2)], [f"a{k}" for k in range(A_WORDS // 2)]
+    both = hamming_pairs(rows, t + a, HammingScheme(radius, (radius + 2) // 2), within)
+    titles = hamming_pairs(rows, t, HammingScheme(title_radius, (title_radius + 2) // 2), within)
+    # a profile without a title is looked up by its authors
+    names = F.xxhash64(*(f"a{k}" for k in range(A_WORDS)))
+    named = rows.where(" or ".join(f"a{k} != 0" for k in range(A_WORDS)))
+    side = lambda r, k: r.select(names.alias("key"), F.col("id").alias(f"id_{k}"), F.col("src").alias(f"src_{k}"))
+    bare = named.where(" and ".join(f"t{k} = 0" for k in range(T_WORDS)))
+    found = side(named, 1).hint("merge").join(side(bare, 2), "key").where("src_1 != src_2")
+    first = F.col("src_1") < F.col("src_2")
+    untitled = found.select(F.when(first, F.col("id_1")).otherwise(F.col("id_2")).alias("id1"), F.when(first, F.col("id_2")).otherwise(F.col("id_1")).alias("id2"))
+    return both.unionByName(titles).unionByName(untitled).distinct()
+
+
+def scored_pairs(profiles: DataFrame, id_col: str, source_col: str, attributes_col: str, radius: int, title_radius: int, most_known: int) -> tuple[DataFrame, Model, dict]:
+    """The compared pairs across sources with ``score`` and ``confidence``, the model, and the counts of held-out pairs."""
+    raw = checkpoint(profile_rows(profiles, id_col, source_col, attributes_col))
+    counts = {r["ds"]: r["n"] for r in raw.groupBy("ds").agg(F.count("*").alias("n")).collect()}  # a row a source
+    names, n = sorted(counts), sum(counts.values())
+    number = F.element_at(F.create_map(*(F.lit(x) for k, s in enumerate(names) for x in (s, k))), F.col("ds")) if names else F.lit(0)
+    rows = checkpoint(marked(raw.withColumn("src", number), len(names)))
+    forget(raw)
+    chosen = min(1.0, most_known / max(n, 1))
+    lot = lambda seed, *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1_000_000))
+    candidates = candidate_pairs(rows, lot(5, "id") < int(1_000_000 * chosen), radius, title_radius)
+    pairs = checkpoint(compared(candidates, rows.drop("src")))
+    forget(rows)
+    fields = list(LEVELS)
+    known, half = (F.col("ds1") == F.col("ds2")).alias("known"), (lot(9, "id1", "id2") < 500_000).alias("half")
+    found = pairs.groupBy(*fields, known, half).agg(F.count("*").alias("n")).collect()  # a row a pattern
+    patterns, of = np.unique(np.array([[r[f] for f in fields] for r in found], np.int64).reshape(-1, len(fields)), axis=0, return_inverse=True)
+    tally = np.zeros((2, 2, len(patterns)))
+    for r, k in zip(found, np.ravel(of), strict=True):
+        tally[int(r["known"]), int(r["half"]), k] += r["n"]
+    sizes = np.array(list(counts.values()), float)
+    cross = (sizes.sum() ** 2 - (sizes**2).sum()) / 2
+    same = ((sizes * (sizes - 1) - sizes * (1 - chosen) * np.maximum(sizes * (1 - chosen) - 1, 0)) / 2).sum()
+    ratio = float(cross / same) if same > 0 else 0.0
+    # each half is scored with the weights of the other; the curve of all these held-out scores goes with the weights of all
+    halves = [fit_weights(patterns, *tally[:, k], ratio) for k in (0, 1)]
+    model = fit_weights(patterns, *tally.sum(axis=1), ratio)
+    model.curve = calibrate([(halves[1 - k].bins(patterns), *tally[:, k]) for k in (0, 1)], ratio)
+    held = {"patterns": patterns, "half": halves[0], "fitted": tally[:, 0], "across": tally[0, 1], "within": tally[1, 1], "ratio": ratio}
+    scored = pairs.where("ds1 != ds2").withColumn("score", model.score())
+    return scored.withColumn("confidence", model.confidence(F.col("score"))), model, held
+
+
+def match_profiles(profiles: DataFrame, id_col: str = "id", source_col: str = "dataset", attributes_col: str = "attributes", radius: int = 14, title_radius: int = 7, least: float = 0.5, most_known: int = 20_000) -> DataFrame:
     """(id1, id2, confidence), id1 < id2: profiles of different sources that stand for the same thing.
 
-    Candidates are the pairs whose title vectors differ by at most ``radius`` bits, or whose vectors of the title's head do
-    by at most ``head_radius`` (titles that are cut), unless both years are known and more than one apart. Confidences come from the levels of title, author, year, venue, page,
-    part and length agreement. As a source has at most one profile of a thing, a pair is kept if neither side has a
-    better partner in the other's source, and if its confidence is at least ``least``. Profiles without a title, null ids
-    and null sources match nothing; an id delivered again counts once.
+    Candidates are the pairs for which half of the bits of title and surnames together differ by at most ``radius``, or half
+    of the title's by at most ``title_radius``; a profile without a title is compared with those that have the same
+    surnames. All other fields, the year too, only weigh. Weights are fitted, and scores calibrated on pairs that are held
+    out, with the pairs of one source as known different ones; at most about ``most_known`` profiles ask for partners in
+    their own source. As a source has at most one profile of a thing, a pair is kept if neither side
+    has a better partner in the other's source, and if its confidence is at least ``least``. Profiles without title and
+    authors, null ids and null sources match nothing; an id delivered again counts once. Sources are few: their names are
+    read to the driver.
     """
-    rows = checkpoint(profile_features(profiles, id_col, source_col, attributes_col))
-    vectors = lambda c: rows.where(F.size(c) > 0).select("id", "ds", "year", F.col(c).alias("hashes"))
-    whole = hamming_pairs(vectors("title"), HammingScheme(radius, radius // 2 + 1))
-    heads = hamming_pairs(vectors("head"), HammingScheme(head_radius, head_radius // 2 + 1))
-    pairs = checkpoint(compared(whole.unionByName(heads).distinct(), rows))
-    source = rows.select("id", "ds")
-    sure = with_confidence(pairs).where(F.col("confidence") >= least).select("id1", "id2", "title_dice", "author_dice", "score", "confidence")
-    sure = sure.join(source.select(F.col("id").alias("id1"), F.col("ds").alias("ds1")), "id1").join(source.select(F.col("id").alias("id2"), F.col("ds").alias("ds2")), "id2")
+    scored, _, _ = scored_pairs(profiles, id_col, source_col, attributes_col, radius, title_radius, most_known)
     order = [F.desc("score"), F.desc("title_dice"), F.desc("author_dice")]
     one = Window.partitionBy("id1", "ds2").orderBy(*order, "id2")
     two = Window.partitionBy("id2", "ds1").orderBy(*order, "id1")
-    best = sure.withColumn("a", F.row_number().over(one)).where("a = 1").withColumn("b", F.row_number().over(two)).where("b = 1")
+    best = scored.where(F.col("confidence") >= least).withColumn("a", F.row_number().over(one)).where("a = 1").withColumn("b", F.row_number().over(two)).where("b = 1")
     return best.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "confidence")
+
+
+def reliability(profiles: DataFrame, id_col: str = "id", source_col: str = "dataset", attributes_col: str = "attributes", radius: int = 14, title_radius: int = 7, most_known: int = 20_000) -> DataFrame:
+    """(decile, pairs, mean_confidence, match_rate): the confidences against the share of matches among pairs held out.
+
+    The curve of confidences is fitted on the half of the pairs that the weights are fitted on, and compared with the
+    other half, whose share of matches is estimated by match_rate. One row for each tenth of confidence that has pairs.
+    """
+    _, _, held = scored_pairs(profiles, id_col, source_col, attributes_col, radius, title_radius, most_known)
+    bins = held["half"].bins(held["patterns"])
+    sure = calibrate([(bins, *held["fitted"])], held["ratio"])[bins]
+    decile = np.minimum((sure * 10).astype(int), 9)
+    rows = []
+    for k in range(10):
+        at = decile == k
+        c, w = held["across"][at].sum(), held["within"][at].sum()
+        if c:
+            rows.append((k, int(c), float((held["across"][at] * sure[at]).sum() / c), float(match_rate(c, w, held["ratio"]))))
+    return profiles.sparkSession.createDataFrame(rows, "decile int, pairs long, mean_confidence double, match_rate double")

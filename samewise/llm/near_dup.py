@@ -108,6 +108,13 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, scheme: Scheme, role: str, s
     return rec[np.concatenate([seg_inst[zero], seg_inst[one], inst[deep]])], np.concatenate([whole[zero], cut[one], fewer[deep]])
 
 
+def images(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The two words of a 128-bit exclusive-or image of each set; images of two sets differ in no more bits than the sets in members."""
+    place = mix(flat ^ U(0x2545F4914F6CDD1D)) & U(127)
+    bit, begins = U(1) << (place & U(63)), np.cumsum(sizes) - sizes
+    return [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, U(0)), begins) for low in (True, False)]
+
+
 def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, id, n, parity, parity2, *carry) from (id, hashes array<long>, *carry); the parities are a 128-bit exclusive-or image of the set.
 
@@ -125,9 +132,7 @@ def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarra
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = lists.flatten().to_numpy().view(U)
                 at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
-                place = mix(flat ^ U(0x2545F4914F6CDD1D)) & U(127)
-                bit, begins = U(1) << (place & U(63)), np.cumsum(sizes) - sizes
-                parities = [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, U(0)), begins) for low in (True, False)]
+                parities = images(flat, sizes)
                 take = pa.array(at)
                 columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in parities), *(part.column(2 + k).take(take) for k in range(len(carry)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", "parity2", *carry])
