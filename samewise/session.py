@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -29,23 +29,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, **counts: Column) -> DataFrame:
     """``df``, computed once and written as a table to the shared checkpoint folder, so that a lost executor costs a re-read only.
 
     A table rather than an RDD checkpoint: the latter hands on the constraints and partitionings of its plan, which
     multiply through the joins and renamings of an iteration until planning takes longer than the work. The files go when
-    the session ends, or with ``forget``.
+    the session ends, or with ``forget``. ``counts`` are aggregates taken while the table is written, with no job of their
+    own; ``counted`` of the result gives them.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if counts else None
+    (df.observe(seen, *(c.alias(n) for n, c in counts.items())) if counts else df).write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._samewise_path = path
+    out._samewise_counts = seen.get if counts else {}
     return out
 
 
+def counted(df: DataFrame) -> dict:
+    """The aggregates that were taken when the frame was checkpointed."""
+    return df._samewise_counts
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the files of checkpointed frames that nothing will read any more."""
     for df in frames:
