@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samewise.session import checkpoint, forget
+from samewise.session import checkpoint, counted, forget
 
 
 def undirected(pairs: DataFrame, id1: str, id2: str) -> DataFrame:
@@ -28,28 +28,32 @@ def connected_components(pairs: DataFrame, id1: str = "id1", id2: str = "id2") -
     on hub keys are left to adaptive skew splitting, as one side has one row a key. Lineage is cut in the shared
     checkpoint folder after each step. Null ids, loops, both orders and repeats are allowed; an empty table gives an empty result.
     """
-    edges = checkpoint(undirected(pairs, id1, id2))
+    every = F.count("*")
+    edges = checkpoint(undirected(pairs, id1, id2), n=every)
     rounds: list[DataFrame] = []
-    while not edges.isEmpty():
+    while counted(edges)["n"]:
         ends = F.explode(F.array(F.struct(F.col("lo").alias("x"), F.col("hi").alias("y")), F.struct(F.col("hi").alias("x"), F.col("lo").alias("y"))))
         hook = checkpoint(edges.select(ends.alias("e")).groupBy(F.col("e.x").alias("x")).agg(F.min("e.y").alias("p")))
         tree, moved = hook, True
         while moved:
             above = tree.select(F.col("x").alias("p"), F.col("p").alias("pp"))
             # the first step cuts the cycles of two; after it, a parent's parent is never larger
-            step = checkpoint(tree.select("x", "p").join(above, "p").select("x", F.least("p", "pp").alias("p"), (F.col("p") != F.least("p", "pp")).alias("moved")))
-            moved = tree is hook or not step.where("moved").isEmpty()
+            up = F.least("p", "pp")
+            joined = tree.select("x", "p").hint("merge").join(above, "p")
+            step = checkpoint(joined.select("x", up.alias("p"), (F.col("p") != up).alias("moved")), n=F.count_if("moved"))
+            moved = tree is hook or counted(step)["n"] > 0
             forget(tree)
             tree = step
-        rounds.append(tree.select("x", "p"))
+        rounds.append(tree)
         to = lambda end: tree.select(F.col("x").alias(end), F.col("p").alias(f"{end}_root"))
-        relabelled = checkpoint(undirected(edges.join(to("lo"), "lo").join(to("hi"), "hi"), "lo_root", "hi_root"))
+        ended = edges.hint("merge").join(to("lo"), "lo").hint("merge").join(to("hi"), "hi")
+        relabelled = checkpoint(undirected(ended, "lo_root", "hi_root"), n=every)
         forget(edges)
         edges = relabelled
     if not rounds:
         return edges.select(F.col("lo").alias("rec_id"), F.col("hi").alias("group_id"))
-    label = rounds.pop()
+    label = rounds.pop().select("x", "p")
     while rounds:
         top = label.select(F.col("x").alias("p"), F.col("p").alias("root"))
-        label = rounds.pop().join(top, "p", "left").select("x", F.coalesce("root", "p").alias("p"))
+        label = rounds.pop().hint("merge").join(top, "p", "left").select("x", F.coalesce("root", "p").alias("p"))
     return label.select(F.col("x").alias("rec_id"), F.col("p").alias("group_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.near_dup import image_distance, images, signatures
 from samewise.llm.profile_fields import AUTHOR_BITS, COLUMNS, SCHEMA, TITLE_BITS, VENUE_CODES, field_columns
-from samewise.llm.sketch import BUCKETS, frequency_sketch, mix
+from samewise.llm.sketch import BUCKETS, counts_batch, frequency_sketch, mix, summed
 from samewise.session import checkpoint, forget, map_arrow
 
 U = np.uint64
@@ -51,11 +51,14 @@ class HammingScheme:
 
 
 def vector_rows(rows: DataFrame, words: list[str], scheme: HammingScheme, role: str, sketch: np.ndarray | None = None) -> DataFrame:
-    """(key, id, src, n, parity, parity2): the keys of each vector (long columns ``words``) that has a bit, and a 128-bit image of it."""
+    """(key, id, src, n, parity, parity2): the keys of each vector (long columns ``words``) that has a bit, and a 128-bit image of it.
+
+    Role "count" gives rows (b, n) for the frequency sketch of the index keys instead.
+    """
     shared = None if sketch is None else rows.sparkSession.sparkContext.broadcast(sketch)
     kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):  # bounds the memory of a step
                 part = batch.slice(a, 2048)
@@ -63,14 +66,21 @@ def vector_rows(rows: DataFrame, words: list[str], scheme: HammingScheme, role:
                 row, bit = np.nonzero(np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little"))
                 sizes = np.bincount(row, minlength=len(packed))
                 some = np.flatnonzero(sizes)
-                if not len(some):
-                    continue
-                flat, sizes = mix(bit.astype(U) + U(1)), sizes[some]
-                at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
-                take = pa.array(some[at])
-                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in images(flat, sizes))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "src", "n", "parity", "parity2"])
+                if len(some):
+                    yield part, some, mix(bit.astype(U) + U(1)), sizes[some]
 
+    def count(batches):
+        yield counts_batch(signatures(flat, sizes, scheme, "index", None)[1] for *_, flat, sizes in parts(batches))
+
+    def run(batches):
+        for part, some, flat, sizes in parts(batches):
+            at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
+            take = pa.array(some[at])
+            columns = [pa.array(key.view(np.int64)), part.column(0).take(take), part.column(1).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in images(flat, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "src", "n", "parity", "parity2"])
+
+    if role == "count":
+        return map_arrow(rows.select("id", "src", *words), count, "b int, n long")
     return map_arrow(rows.select("id", "src", *words), run, f"key long, id {kind}, src int, n int, parity long, parity2 long")
 
 
@@ -82,7 +92,7 @@ def hamming_pairs(rows: DataFrame, words: list[str], scheme: HammingScheme, with
     the comparison. Keys are exploded rows whose size Spark can't estimate, so they are joined by sorting, never broadcast.
     """
     index = vector_rows(rows, words, scheme, "index")
-    sketch = frequency_sketch(index, F.col("key"))
+    sketch = summed(vector_rows(rows, words, scheme, "count"))
     # a profile of the first source meets others only as an index row; it asks for partners within its source alone
     asking = rows.withColumn("src", F.when(within, -1 - F.col("src")).otherwise(F.col("src"))).where(F.col("src") != 0)
     probe = vector_rows(asking, words, scheme, "probe", sketch)

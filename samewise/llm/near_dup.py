@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.components import connected_components
-from samewise.llm.sketch import bucket, frequency_sketch, mix
+from samewise.llm.sketch import bucket, counts_batch, mix, summed
 from samewise.session import checkpoint, map_arrow
 
 EPS = 1e-9
@@ -115,29 +115,34 @@ def images(flat: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     return [np.bitwise_xor.reduceat(np.where((place < 64) == low, bit, U(0)), begins) for low in (True, False)]
 
 
-def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, id, n, parity, parity2, *carry) from (id, hashes array<long>, *carry); the parities are a 128-bit exclusive-or image of the set.
+def signature_rows(sets: DataFrame, scheme: Scheme, role: str, sketch: np.ndarray | None = None) -> DataFrame:
+    """(key, id, n, parity, parity2) from (id, hashes array<long>); the parities are a 128-bit exclusive-or image of the set.
 
-    The images of two sets differ in no more bits than the sets in members.
+    The images of two sets differ in no more bits than the sets in members. Role "count" gives rows (b, n) for the
+    frequency sketch of the index keys instead, so that these needn't leave the workers to be counted.
     """
     shared = None if sketch is None else sets.sparkSession.sparkContext.broadcast(sketch)
-    kinds = "".join(f", {c} {sets.schema[c].dataType.simpleString()}" for c in carry)
     kind = sets.schema["id"].dataType.simpleString()
 
-    def run(batches):
+    def parts(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):  # bounds the memory of a step
                 part = batch.slice(a, 2048)
-                lists = part.column(1)
-                sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = lists.flatten().to_numpy().view(U)
-                at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
-                parities = images(flat, sizes)
-                take = pa.array(at)
-                columns = [pa.array(key.view(np.int64)), part.column(0).take(take), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in parities), *(part.column(2 + k).take(take) for k in range(len(carry)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", "parity2", *carry])
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield part.column(0), part.column(1).flatten().to_numpy().view(U), sizes
+
+    def count(batches):
+        yield counts_batch(signatures(flat, sizes, scheme, "index", None)[1] for _, flat, sizes in parts(batches))
+
+    def run(batches):
+        for ids, flat, sizes in parts(batches):
+            at, key = signatures(flat, sizes, scheme, role, None if shared is None else shared.value)
+            columns = [pa.array(key.view(np.int64)), ids.take(pa.array(at)), pa.array(sizes[at].astype(np.int32)), *(pa.array(x[at].view(np.int64)) for x in images(flat, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n", "parity", "parity2"])
 
-    return map_arrow(sets.select("id", "hashes", *carry), run, f"key long, id {kind}, n int, parity long, parity2 long{kinds}")
+    if role == "count":
+        return map_arrow(sets.select("id", "hashes"), count, "b int, n long")
+    return map_arrow(sets.select("id", "hashes"), run, f"key long, id {kind}, n int, parity long, parity2 long")
 
 
 def image_distance() -> Column:
@@ -154,26 +159,28 @@ def similar_set_pairs(sets: DataFrame, threshold: float, slack: float = 1.3, lab
     scheme = Scheme(threshold, slack)
     hashed = sets.select("id", F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
     index = signature_rows(hashed, scheme, "index")
-    sketch = frequency_sketch(index, F.col("key"))
+    sketch = summed(signature_rows(hashed, scheme, "count"))
     side = lambda rows, k: rows.select("key", *(F.col(c).alias(f"{c}{k}") for c in ("id", "n", "parity", "parity2")))
     a, b = side(index, "_1"), side(signature_rows(hashed, scheme, "probe", sketch), "_2")
     smaller = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("id_1") < F.col("id_2")))
     close = image_distance() <= scheme.differ_column(F.col("n_1"), F.col("n_2"))
-    near = a.join(b, "key").where(smaller & (F.col("n_1") >= F.col("n_2") * threshold - EPS) & close)
+    # exploded rows, whose size Spark can't estimate: joined by sorting, never broadcast
+    near = a.hint("merge").join(b, "key").where(smaller & (F.col("n_1") >= F.col("n_2") * threshold - EPS) & close)
     candidates = near.select(F.col("id_1").alias("id1"), F.col("id_2").alias("id2")).distinct()
     one = sets.select(F.col("id").alias("id1"), F.col("items").alias("i1"), F.col(label).alias("a"))
     two = sets.select(F.col("id").alias("id2"), F.col("items").alias("i2"), F.col(label).alias("b"))
     common = F.size(F.array_intersect("i1", "i2"))
-    verified = candidates.join(one, "id1").join(two, "id2").withColumn("o", common).where(F.col("o") >= F.lit(threshold) * (F.size("i1") + F.size("i2") - F.col("o")) - EPS)
+    verified = candidates.hint("merge").join(one, "id1").hint("merge").join(two, "id2").withColumn("o", common).where(F.col("o") >= F.lit(threshold) * (F.size("i1") + F.size("i2") - F.col("o")) - EPS)
     return verified.select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
 
 
 def set_classes(df: DataFrame, id_col: str, items: Column) -> tuple[DataFrame, DataFrame]:
     """The distinct non-empty sets (id, rep, items), rep being the smallest record id of each, and (rec_id, rep) of all records."""
     rows = df.select(F.col(id_col).alias("rec_id"), items.alias("items")).where(F.col("rec_id").isNotNull() & (F.size("items") > 0)).withColumn("h", F.md5(F.concat_ws("\n", "items")))
+    rows = checkpoint(rows)  # read twice, tokenised once
     # the serial numbers are fixed by the checkpoint; a record id would not do, as one id may come with several contents
     reps = checkpoint(rows.groupBy("h").agg(F.min("rec_id").alias("rep"), F.first("items").alias("items")).withColumn("id", F.monotonically_increasing_id()))
-    return reps.select("id", "rep", "items"), rows.select("rec_id", "h").join(reps.select("h", "rep"), "h").select("rec_id", "rep")
+    return reps.select("id", "rep", "items"), rows.select("rec_id", "h").hint("merge").join(reps.select("h", "rep"), "h").select("rec_id", "rep")
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str, items: Column, threshold: float) -> DataFrame:

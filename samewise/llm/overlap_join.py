@@ -107,14 +107,14 @@ def similar_pairs(sets: DataFrame, threshold: float, most_subsets: int = 128) ->
 
     tiny = map_arrow(hashed.where(F.size("hashes") <= bound), small, f"key long, id {kind}, n int, need int")
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("n1") + F.col("n2")) - F.lit(EPS))
-    by_subset = side(tiny, 1).join(side(tiny, 2), "key").where((F.col("id1") < F.col("id2")) & (F.col("need1") == F.col("need2")) & (F.col("need1") == need)).select("id1", "id2")
+    by_subset = side(tiny, 1).hint("merge").join(side(tiny, 2), "key").where((F.col("id1") < F.col("id2")) & (F.col("need1") == F.col("need2")) & (F.col("need1") == need)).select("id1", "id2")
     postings = map_arrow(hashed.where(F.size("hashes") >= math.ceil((bound + 1) * t - EPS)), lists, f"key long, id {kind}, n int")
     fits = (F.col("n1") >= F.col("n2") * t - EPS) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("id1") < F.col("id2"))))
-    by_list = side(postings, 1).join(side(postings.where(F.col("n") > bound), 2), "key").where(fits).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
+    by_list = side(postings, 1).hint("merge").join(side(postings.where(F.col("n") > bound), 2), "key").where(fits).select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"))
     candidates = by_subset.unionByName(by_list).distinct()
     one = sets.select(F.col("id").alias("id1"), F.col("items").alias("i1"))
     two = sets.select(F.col("id").alias("id2"), F.col("items").alias("i2"))
-    both = candidates.join(one, "id1").join(two, "id2").withColumn("overlap", F.size(F.array_intersect("i1", "i2")))
+    both = candidates.hint("merge").join(one, "id1").hint("merge").join(two, "id2").withColumn("overlap", F.size(F.array_intersect("i1", "i2")))
     return both.where(F.col("overlap") >= F.lit(t) * (F.size("i1") + F.size("i2") - F.col("overlap")) - EPS).select("id1", "id2", "overlap")
 
 
@@ -127,7 +127,7 @@ def record_sets(rows: DataFrame, id_col: str, item: Column) -> tuple[DataFrame,
     sets = items.groupBy("rec_id").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("h", F.md5(F.concat_ws("\n", "items")))
     sets = checkpoint(sets)
     reps = sets.groupBy("h").agg(F.min("rec_id").alias("rep"))
-    members = checkpoint(sets.join(reps, "h").select("rec_id", "rep", "items"))
+    members = checkpoint(sets.hint("merge").join(reps, "h").select("rec_id", "rep", "items"))
     return members.where("rec_id = rep").select(F.col("rep").alias("id"), "items"), members.select("rec_id", "rep")
 
 
@@ -143,6 +143,6 @@ def similar_records(rows: DataFrame, id_col: str, item: Column, threshold: float
         return pairs
     one = members.select(F.col("rec_id").alias("a"), F.col("rep").alias("id1"))
     two = members.select(F.col("rec_id").alias("b"), F.col("rep").alias("id2"))
-    across = pairs.join(one, "id1").join(two, "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
-    within = one.join(two, F.col("id1") == F.col("id2")).where("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"))
+    across = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+    within = one.hint("merge").join(two, F.col("id1") == F.col("id2")).where("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"))
     return across.unionByName(within)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,21 @@ def frequency_sketch(df: DataFrame, hash_col: Column) -> np.ndarray:
 
     The counts only order things by cost; no result depends on them.
     """
-    rows = df.groupBy(F.pmod(hash_col, F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).toPandas()
+    return summed(df.select(F.pmod(hash_col, F.lit(BUCKETS)).cast("int").alias("b"), F.lit(1).cast("long").alias("n")))
+
+
+def counts_batch(keys: Iterable[np.ndarray]) -> pa.RecordBatch:
+    """(b, n): how many of the keys (hashes, in pieces) fall in each bucket; what ``summed`` adds up."""
+    n = np.zeros(BUCKETS, np.int64)
+    for k in keys:
+        n += np.bincount(bucket(k), minlength=BUCKETS)
+    at = np.flatnonzero(n)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["b", "n"])
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sketch of rows (b int, n long), at most one a bucket coming to the driver."""
+    rows = rows.groupBy("b").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, np.int32)
     out[rows["b"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 2**31 - 1)
     return out
