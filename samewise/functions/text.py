@@ -54,6 +54,11 @@ def qgrams(c: Column, q: int) -> Column:
     return F.when(c.isNull(), F.lit(None)).when(F.length(c) == 0, F.slice(at, 1, 0)).otherwise(at)
 
 
+def numbered_repeats(items: Column) -> Column:
+    """A list of texts as a set: each with the number of its repeat, so that intersections count repeats."""
+    return F.transform(items, lambda x, i: F.concat_ws("\u0001", x, F.size(F.filter(F.slice(items, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
 @lru_cache(maxsize=1)
 def _digits() -> tuple[str, str]:
     every = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]

@@ -6,11 +6,15 @@ keeps each unordered pair once, the smaller id first.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.functions import filters
-from samewise.functions.text import qgrams
+from samewise.functions.sketch import as_classes, class_of, frequency_sketch
+from samewise.functions.text import numbered_repeats, qgrams
 
 
 def token_frequency(frames: list[DataFrame], tokens: str = "tokens") -> DataFrame:
@@ -23,7 +27,7 @@ def token_frequency(frames: list[DataFrame], tokens: str = "tokens") -> DataFram
 
 def ordered_tokens(frame: DataFrame, frequency: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(id, n, ranked): the tokens of each record, rarest first, ties by token."""
-    rows = frame.select("id", F.explode(tokens).alias("token")).join(frequency, "token")
+    rows = frame.select("id", F.explode(tokens).alias("token")).hint("merge").join(frequency, "token")
     ranked = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
     return ranked.select("id", F.size("r").alias("n"), F.transform("r", lambda x: x["token"]).alias("ranked"))
 
@@ -37,34 +41,66 @@ def js_postings(ranked: DataFrame, t: float) -> DataFrame:
 def _sides(left: DataFrame, right: DataFrame, on: list[str], self_join: bool, extra: Column) -> DataFrame:
     a = left.select(*on, *(F.col(c).alias(f"{c}1") for c in left.columns if c not in on))
     b = right.select(*on, *(F.col(c).alias(f"{c}2") for c in right.columns if c not in on))
-    return a.join(b, on).where((F.col("id1") < F.col("id2")) & extra if self_join else extra)
+    # keys are exploded rows, whose size Spark can't estimate: joined by sorting, never broadcast
+    return a.hint("merge").join(b, on).where((F.col("id1") < F.col("id2")) & extra if self_join else extra)
+
 
+def rarest_first(tokens: Column, classes: Column) -> Column:
+    """The tokens, rarest first by the classes of a frequency sketch, ties by token; any fixed order gives the same pairs."""
+    pairs = F.array_sort(F.transform(tokens, lambda t: F.struct(class_of(classes, t).alias("f"), t.alias("t"))))
+    return F.transform(pairs, lambda x: x["t"])
 
-def js_candidates(left: DataFrame, right: DataFrame, t: float, self_join: bool) -> DataFrame:
-    """(id1, id2) that may have Jaccard >= t: prefix, length and position filters over an inverted index of prefixes."""
-    frequency = token_frequency([left] if self_join else [left, right])
-    a = js_postings(ordered_tokens(left, frequency), t)
-    b = a if self_join else js_postings(ordered_tokens(right, frequency), t)
-    pairs = _sides(a, b, ["token"], self_join, filters.js_length(F.col("n1"), F.col("n2"), t))
-    merged = pairs.groupBy("id1", "id2", "n1", "n2").agg(F.count("*").alias("common"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"))
-    return merged.where(filters.js_position(F.col("common"), F.col("p1"), F.col("p2"), F.col("n1"), F.col("n2"), t)).select("id1", "id2")
 
+def token_classes(frames: list[DataFrame], columns: list[list[str]]) -> Column:
+    """The sketch of all tokens of the named columns of the frames, in one aggregation a frame's rows are counted in before they move."""
+    rows = [f.select(F.explode(F.flatten(F.array(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in names)))).alias("t")) for f, names in zip(frames, columns, strict=True)]
+    return as_classes(frequency_sketch(reduce(DataFrame.unionByName, rows), F.xxhash64("t")))
 
-def js_candidates_dedup(left: DataFrame, right: DataFrame, t: float, self_join: bool) -> DataFrame:
-    """As js_candidates, without grouping the pairs: postings carry their prefixes, and a pair is given by its last common token only."""
-    frequency = token_frequency([left] if self_join else [left, right])
 
-    def postings(frame: DataFrame) -> DataFrame:
-        prefix = F.slice("ranked", F.lit(1), filters.js_prefix_length(F.col("n"), t))
-        return ordered_tokens(frame, frequency).select("id", "n", prefix.alias("prefix")).withColumn("token", F.explode("prefix"))
+def js_candidates(left: DataFrame, right: DataFrame, conditions: list[tuple[str, str, float]], self_join: bool, dedup: bool = False) -> list[DataFrame]:
+    """(id1, id2) that may reach each condition (left tokens, right tokens, threshold): prefix, length and position filters
+    over one inverted index of the prefixes of all conditions, and a filter by 128-bit images of the sets.
 
-    a = postings(left)
-    b = a if self_join else postings(right)
-    both = F.array_intersect("prefix1", "prefix2")
-    last = F.col("token") == F.element_at(both, -1)
-    pairs = _sides(a, b, ["token"], self_join, filters.js_length(F.col("n1"), F.col("n2"), t)).where(last)
-    place = lambda k: F.array_position(f"prefix{k}", F.col("token"))
-    return pairs.where(filters.js_position(F.size(both), place(1), place(2), F.col("n1"), F.col("n2"), t)).select("id1", "id2")
+    Tokens are put in order inside their row, by a frequency sketch of fixed size, so that only prefixes are shuffled. Each
+    condition's postings have its number in their key. With ``dedup`` postings carry their prefixes, and a pair is given
+    by its last common token only, so that no pairs are grouped.
+    """
+    classes = token_classes([left] if self_join else [left, right], [[c[0] for c in conditions]] if self_join else [[c[0] for c in conditions], [c[1] for c in conditions]])
+
+    def postings(frame: DataFrame, side: int) -> DataFrame:
+        cells = []
+        for k, c in enumerate(conditions):
+            n = F.size(c[side])
+            prefix = F.slice(rarest_first(F.col(c[side]), classes), F.lit(1), F.when(n > 0, filters.js_prefix_length(n, c[2])).otherwise(0))
+            images = [F.coalesce(filters.set_image(F.col(c[side]), h), F.lit(0)).alias(f"image{h}_") for h in (0, 1)]
+            cells.append(F.struct(F.lit(k).alias("c"), n.alias("n"), *images, F.coalesce(prefix, F.array().cast("array<string>")).alias("prefix")))
+        rows = frame.select("id", F.explode(F.array(*cells)).alias("x")).select("id", "x.*")
+        if dedup:
+            return rows.select("id", "n", "image0_", "image1_", "prefix", "c", F.explode("prefix").alias("token"))
+        return rows.select("id", "n", "image0_", "image1_", "c", F.posexplode("prefix").alias("pos", "token")).withColumn("pos", F.col("pos") + 1)
+
+    def by_condition(test) -> Column:
+        out = F.lit(False)
+        for k, c in enumerate(conditions):
+            out = F.when(F.col("c") == k, test(c[2])).otherwise(out)
+        return out
+
+    a = postings(left, 0)
+    b = a if self_join and all(c[0] == c[1] for c in conditions) else postings(right, 1)
+    n1, n2 = F.col("n1"), F.col("n2")
+    apart = sum((F.bit_count(F.col(f"image{h}_1").bitwiseXOR(F.col(f"image{h}_2"))) for h in (0, 1)), F.lit(0))
+    pairs = _sides(a, b, ["c", "token"], self_join, by_condition(lambda t: filters.js_length(n1, n2, t) & filters.js_image(apart, n1, n2, t)))
+    if dedup:
+        both = F.array_intersect("prefix1", "prefix2")
+        place = lambda k: F.array_position(f"prefix{k}", F.col("token"))
+        pairs = pairs.where(F.col("token") == F.element_at(both, -1))
+        found = pairs.where(by_condition(lambda t: filters.js_position(F.size(both), place(1), place(2), n1, n2, t)))
+    else:
+        merged = pairs.groupBy("c", "id1", "id2", "n1", "n2").agg(F.count("*").alias("common"), F.max("pos1").alias("p1"), F.max("pos2").alias("p2"))
+        found = merged.where(by_condition(lambda t: filters.js_position(F.col("common"), F.col("p1"), F.col("p2"), n1, n2, t)))
+    if len(conditions) == 1:
+        return [found.select("id1", "id2")]
+    return [found.where(F.col("c") == k).select("id1", "id2") for k in range(len(conditions))]
 
 
 def gram_frequency(frames: list[DataFrame], q: int, value: str = "value") -> DataFrame:
@@ -78,7 +114,7 @@ def gram_frequency(frames: list[DataFrame], q: int, value: str = "value") -> Dat
 
 def ordered_grams(frame: DataFrame, frequency: DataFrame, q: int, value: str = "value") -> DataFrame:
     """(id, n, ranked array<struct<tf, gram, pos>>): the positional q-grams of each record, rarest first, ties by gram and position."""
-    rows = frame.select("id", F.explode(qgrams(F.col(value), q)).alias("g")).select("id", "g.gram", "g.pos").join(frequency, "gram")
+    rows = frame.select("id", F.explode(qgrams(F.col(value), q)).alias("g")).select("id", "g.gram", "g.pos").hint("merge").join(frequency, "gram")
     ranked = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tf", "gram", "pos"))).alias("ranked"))
     return ranked.select("id", F.size("ranked").alias("n"), "ranked")
 
@@ -97,25 +133,70 @@ def deletions(value: Column, k: int) -> Column:
     return out
 
 
-def ed_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q: int = 2) -> DataFrame:
+def deletion_bound(k: int, most_keys: int) -> int:
+    """The largest length up to which a text has at most ``most_keys`` such rests."""
+    n = 0
+    while n < 10_000 and sum(math.comb(n + 1, i) for i in range(k + 1)) <= most_keys:
+        n += 1
+    return n
+
+
+def ed_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q: int = 2, most_keys: int = 256) -> DataFrame:
     """(id1, id2) with edit distance <= k, from (id, value).
 
-    Texts with more than q k q-grams share one of their q k + 1 rarest at positions at most k apart. Two shorter texts
-    may share none; they are joined on what is left after up to k deletions, which keeps them out of one common block.
-    Postings carry the text, so that a pair is verified where it is found, before anything is shuffled or deduplicated.
+    Which way a pair is found depends on its lengths, so that none is costly. Both up to the length at which a text has
+    ``most_keys`` rests after up to k deletions: by a common rest. Else, if both have more than q k q-grams, by one of the
+    q k + 1 rarest of each at positions at most k apart; if the shorter has not, but has more than k characters, the same
+    with single characters for q-grams. A pair with a text of at most k characters is left only where k is 5 or more and
+    nearly all such texts match: it is found by its lengths. Keys carry the text, so that a pair is verified where it is found,
+    before anything is shuffled or deduplicated.
     """
-    frequency = gram_frequency([left] if self_join else [left, right], q)
+    bound = deletion_bound(k, most_keys)
+    size = F.length("value")
     near = (F.abs(F.length("value1") - F.length("value2")) <= k) & filters.ed_reached(F.col("value1"), F.col("value2"), k)
+    longer, shorter = F.greatest(F.length("value1"), F.length("value2")), F.least(F.length("value1"), F.length("value2"))
+
+    def joined(keys, on: str, extra: Column) -> DataFrame:
+        a = keys(left)
+        return _sides(a, a if self_join else keys(right), [on], self_join, extra & near).select("id1", "id2")
 
-    def grams(frame: DataFrame) -> DataFrame:
-        return ed_postings(ordered_grams(frame, frequency, q), k, q).drop("sorted_pos").join(frame.select("id", "value"), "id")
+    def by_gram(q: int, least: int, most: int | None) -> DataFrame:
+        """Pairs whose longer text is beyond the bound and whose shorter one has least to most characters."""
+        use = lambda f: f.where(size >= max(least, bound - k + 1, 1))
+        frequency = gram_frequency([use(left)] if self_join else [use(left), use(right)], q)
 
-    def short(frame: DataFrame) -> DataFrame:
-        # fewer than q k + 1 grams: a length below q k + q
-        return frame.where(F.length("value").between(1, q * k + q - 1)).select(F.explode(deletions(F.col("value"), k)).alias("rest"), "id", "value")
+        def keys(frame: DataFrame) -> DataFrame:
+            return ed_postings(ordered_grams(use(frame), frequency, q), k, q).drop("sorted_pos").hint("merge").join(use(frame).select("id", "value"), "id")
+
+        fits = (F.abs(F.col("pos1") - F.col("pos2")) <= k) & (F.abs(F.col("n1") - F.col("n2")) <= k) & (longer > bound)
+        return joined(keys, "gram", fits if most is None else fits & (shorter <= most))
+
+    enough = q * k + q  # the length of a text with q k + 1 q-grams
+    out = [joined(lambda f: f.where(size.between(1, bound)).select(F.explode(deletions(F.col("value"), k)).alias("rest"), "id", "value"), "rest", F.lit(True)), by_gram(q, enough, None)]
+    if bound - k + 1 < enough:
+        out.append(by_gram(1, k + 1, enough - 1))
+    if bound < 2 * k:
+        tiny = lambda f: f.where(size.between(1, 2 * k)).select("id", "value", F.explode(F.sequence(size, size + k)).alias("reach"))
+        out.append(joined(tiny, "reach", (shorter <= k) & (longer > bound) & (F.col("reach") == longer)))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def ed_gram_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q: int = 2) -> DataFrame:
+    """(id1, id2, common): pairs that the q-grams of both texts don't tell to be further apart than k, from (id, value).
+
+    Texts need more than q k q-grams. They share one of their q k + 1 rarest, their lengths differ by at most k, and they have
+    enough common q-grams (``common``, repeats counted as often as both have them). Not yet verified.
+    """
+    frequency = gram_frequency([left] if self_join else [left, right], q)
 
-    a, s = grams(left), short(left)
-    b, u = (a, s) if self_join else (grams(right), short(right))
-    by_gram = _sides(a, b, ["gram"], self_join, (F.abs(F.col("pos1") - F.col("pos2")) <= k) & (F.abs(F.col("n1") - F.col("n2")) <= k) & near).select("id1", "id2")
-    by_rest = _sides(s, u, ["rest"], self_join, near).select("id1", "id2")
-    return by_gram.unionByName(by_rest).distinct()
+    def side(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+        ranked = ordered_grams(frame, frequency, q).where(F.col("n") > q * k)
+        index = ranked.select("id", "n", F.explode(F.array_distinct(F.transform(F.slice("ranked", 1, filters.ed_prefix_length(k, q)), lambda g: g["gram"]))).alias("gram"))
+        return index, ranked.select("id", numbered_repeats(F.transform("ranked", lambda g: g["gram"])).alias("grams"))
+
+    a = side(left)
+    b = a if self_join else side(right)
+    pairs = _sides(a[0], b[0], ["gram"], self_join, F.abs(F.col("n1") - F.col("n2")) <= k).select("id1", "id2", "n1", "n2").distinct()
+    one, two = (f.select(F.col("id").alias(f"id{j}"), F.col("grams").alias(f"g{j}")) for j, f in ((1, a[1]), (2, b[1])))
+    both = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2").withColumn("common", F.size(F.array_intersect("g1", "g2")))
+    return both.where(filters.ed_common(F.col("common"), F.col("n1"), F.col("n2"), k, q)).select("id1", "id2", "common")

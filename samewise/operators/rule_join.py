@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from samewise.functions import filters
 from samewise.functions.text import normalize, tokens
-from samewise.operators.candidates import ed_candidates, js_candidates, js_candidates_dedup
+from samewise.operators.candidates import ed_candidates, js_candidates
 from samewise.plans.planner import ORDERS, order_blocks
 from samewise.plans.rules import ED, JS, Condition, Rule
-from samewise.session import checkpoint
+from samewise.session import checkpoint, forget
 
 STRATEGIES = ("graph", "chain", "chain_dedup")
 
@@ -28,32 +28,53 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 class Side:
-    """One table, prepared for a rule: (id, key) of its records and one row of normalised values and tokens for each distinct content."""
+    """One table, prepared for a rule: (id, key) of its records and one row of normalised values and tokens for each distinct content.
 
-    def __init__(self, df: DataFrame, id_col: str, conditions: list[Condition], side: str, missing: str) -> None:
+    The columns in ``tokenized`` are arrays whose elements are tokens as they are; nulls and empty texts aren't.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, conditions: list[Condition], side: str, missing: str, tokenized: tuple[str, ...] = ()) -> None:
         names = list(dict.fromkeys(getattr(c, side) for c in conditions))
         self.place = {n: k for k, n in enumerate(names)}
         self.side = side
         kinds = {(getattr(c, side), c.kind) for c in conditions}
-        values = [F.nullif(as_text(df, n), F.lit("")).alias(f"v{k}") for k, n in enumerate(names)]
-        rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("rec"), *values)
+        if any((n, ED) in kinds for n in tokenized):
+            raise ValueError("tokens have no edit distance")
+
+        def value(n: str) -> Column:
+            if n not in tokenized:
+                return F.nullif(as_text(df, n), F.lit(""))
+            own = F.array_sort(F.array_distinct(F.filter(F.col(f"`{n}`").cast("array<string>"), lambda t: t.isNotNull() & (t != ""))))
+            return F.when(F.size(own) > 0, own)
+
+        def token_set(n: str) -> Column:
+            return F.col(f"v{self.place[n]}") if n in tokenized else tokens(F.col(f"v{self.place[n]}"))
+
+        rows = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("rec"), *(value(n).alias(f"v{k}") for k, n in enumerate(names)))
         if missing == "drop_record":
             for n, k in self.place.items():
                 rows = rows.where(F.col(f"v{k}").isNotNull())
                 if (n, JS) in kinds:
-                    rows = rows.where(F.size(tokens(F.col(f"v{k}"))) > 0)
+                    rows = rows.where(F.size(token_set(n)) > 0)
         v = [f"v{k}" for k in range(len(names))]
-        keyed = rows.withColumn("key", F.md5(F.to_json(F.struct(*v), {"ignoreNullFields": "false"})))
+        # written, so that the input is read and normalised once
+        keyed = checkpoint(rows.withColumn("key", F.md5(F.to_json(F.struct(*v), {"ignoreNullFields": "false"}))))
         contents = keyed.groupBy("key").agg(*(F.first(c).alias(c) for c in v)).withColumn("id", F.monotonically_increasing_id())
+        kept = [f"v{k}" for n, k in self.place.items() if (n, ED) in kinds]
         # written, which also fixes the serial numbers; pairs of these are much smaller than pairs of keys
-        self.contents = checkpoint(contents.select("id", "key", *v, *(tokens(F.col(f"v{k}")).alias(f"t{k}") for n, k in self.place.items() if (n, JS) in kinds)))
+        self.contents = checkpoint(contents.select("id", "key", *kept, *(token_set(n).alias(f"t{k}") for n, k in self.place.items() if (n, JS) in kinds)))
 
+        self.written = keyed
         self.keyed = keyed.select("rec", "key")
 
     @property
     def members(self) -> DataFrame:
         """(rec, id): the content of each record."""
-        return self.keyed.join(self.contents.select("key", "id"), "key").select("rec", "id")
+        return self.keyed.hint("merge").join(self.contents.select("key", "id"), "key").select("rec", "id")
+
+    def free(self) -> None:
+        """Deletes what was written; frames that read it are no longer of use."""
+        forget(self.contents, self.written)
 
     def frame(self, c: Condition) -> DataFrame:
         """(id, tokens) or (id, value) of the contents that have a value."""
@@ -82,33 +103,36 @@ def rule_column(rule: Rule, left: Side, right: Side) -> Column:
     return reduce(lambda p, q: p | q, blocks)
 
 
-def condition_candidates(c: Condition, left: Side, right: Side, self_join: bool, q: int, dedup: bool = False) -> DataFrame:
-    if c.kind == JS:
-        return (js_candidates_dedup if dedup else js_candidates)(left.frame(c), right.frame(c), c.threshold, self_join)
-    return ed_candidates(left.frame(c), right.frame(c), c.edits, self_join, q)
+def condition_candidates(conditions: list[Condition], left: Side, right: Side, self_join: bool, q: int, dedup: bool = False) -> dict[Condition, DataFrame]:
+    """(id1, id2) of contents for each condition. All Jaccard conditions have one index and are read in one pass."""
+    js = [c for c in conditions if c.kind == JS]
+    out = {}
+    if js:
+        places = [(f"t{left.place[c.left]}", f"t{right.place[c.right]}", c.threshold) for c in js]
+        out = dict(zip(js, js_candidates(left.contents, right.contents, places, self_join, dedup), strict=True))
+    return out | {c: ed_candidates(left.frame(c), right.frame(c), c.edits, self_join, q) for c in conditions if c.kind == ED}
 
 
 def candidate_pairs(rule: Rule, left: Side, right: Side, self_join: bool, strategy: str, order: str, q: int) -> DataFrame:
     """(id1, id2) of contents, distinct. "graph": the first condition of each block; "chain": what all of a block's conditions admit."""
-    out = []
     if strategy == "graph":
         firsts = [block[0] for block in order_blocks(rule, order, lambda c: left.frame(c), q).blocks]
-        out = [condition_candidates(c, left, right, self_join, q) for c in dict.fromkeys(firsts)]
+        out = list(condition_candidates(list(dict.fromkeys(firsts)), left, right, self_join, q).values())
     else:
-        for block in rule.blocks:
-            parts = [condition_candidates(c, left, right, self_join, q, strategy == "chain_dedup") for c in block]
-            out.append(reduce(DataFrame.intersect, parts))
+        every = condition_candidates(rule.conditions, left, right, self_join, q, strategy == "chain_dedup")
+        out = [reduce(DataFrame.intersect, [every[c] for c in block]) for block in rule.blocks]
     return out[0].distinct() if len(out) == 1 else reduce(DataFrame.unionByName, out).distinct()
 
 
-def join_with_rules(df: DataFrame, rule: Rule, id1: str, df2: DataFrame | None = None, id2: str | None = None, output: str = "ids", missing: str = "condition_false", strategy: str = "graph", order: str = "threshold_desc", q: int = 2) -> DataFrame:
+def join_with_rules(df: DataFrame, rule: Rule, id1: str, df2: DataFrame | None = None, id2: str | None = None, output: str = "ids", missing: str = "condition_false", strategy: str = "graph", order: str = "threshold_desc", q: int = 2, tokenized: tuple[str, ...] = (), tokenized2: tuple[str, ...] = ()) -> DataFrame:
     """The pairs of records that satisfy ``rule``: within ``df`` (smaller id first), or between ``df`` and ``df2``.
 
     output: "ids" gives (id1, id2); "rows" attaches both rows, their columns prefixed left_ and right_; "classes" gives
     (class1, class2) between distinct contents, whose number does not grow with copies, to be used with ``members``.
     missing: "condition_false", or "drop_record" to leave out records that lack any attribute of the rule. Contents are
     compared once however many records share them; ids need not be unique, and keep their type. Null ids are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. The columns ``tokenized`` (and ``tokenized2`` of df2) are arrays of tokens, which
+    are taken as they are.
     """
     if strategy not in STRATEGIES or order not in ORDERS or output not in ("ids", "rows", "classes") or missing not in ("condition_false", "drop_record"):
         raise ValueError("unknown strategy, order, output or missing")
@@ -117,32 +141,40 @@ def join_with_rules(df: DataFrame, rule: Rule, id1: str, df2: DataFrame | None =
     self_join = df2 is None
     if self_join and any(c.left != c.right for c in rule.conditions):
         raise ValueError("a rule within one table compares an attribute with itself")
-    left = Side(df, id1, rule.conditions, "left", missing)
-    right = left if self_join else Side(df2, id2 or id1, rule.conditions, "right", missing)
-    found = candidate_pairs(rule, left, right, self_join, strategy, order, q).join(left.columns(1), "id1").join(right.columns(2), "id2").where(rule_column(rule, left, right)).select("id1", "id2")
-    if output == "classes":
-        keys = lambda s, k: s.contents.select(F.col("id").alias(f"id{k}"), F.col("key").alias(f"class{k}"))
-        return found.join(keys(left, 1), "id1").join(keys(right, 2), "id2").select("class1", "class2")
-    a = left.members.select(F.col("rec").alias("a"), F.col("id").alias("id1"))
-    b = right.members.select(F.col("rec").alias("b"), F.col("id").alias("id2"))
-    if self_join:
-        same = left.columns(1).join(right.columns(2), F.col("id1") == F.col("id2")).where(rule_column(rule, left, right)).select("id1", "id2")
-        across = found.join(a, "id1").join(b, "id2").where("a != b").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
-        pairs = across.unionByName(same.join(a, "id1").join(b, "id2").where("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2")))
-    else:
-        pairs = found.join(a, "id1").join(b, "id2").select(F.col("a").alias("id1"), F.col("b").alias("id2"))
-    pairs = pairs.distinct()
-    if output == "ids":
+    left = Side(df, id1, rule.conditions, "left", missing, tokenized)
+    right = left if self_join else Side(df2, id2 or id1, rule.conditions, "right", missing, tokenized2)
+    pairs = join_sides(left, right, rule, self_join, output == "classes", strategy, order, q)
+    if output in ("ids", "classes"):
         return pairs
     other, key2 = (df, id1) if self_join else (df2, id2 or id1)
     one = df.select(*(F.col(f"`{c}`").alias(f"left_{c}") for c in df.columns))
     two = other.select(*(F.col(f"`{c}`").alias(f"right_{c}") for c in other.columns))
-    return pairs.join(one, pairs["id1"] == one[f"left_{id1}"]).join(two, pairs["id2"] == two[f"right_{key2}"]).drop("id1", "id2")
+    both = pairs.hint("merge").join(one, pairs["id1"] == one[f"left_{id1}"]).hint("merge").join(two, pairs["id2"] == two[f"right_{key2}"])
+    return both.drop("id1", "id2")
+
+
+def join_sides(left: Side, right: Side, rule: Rule, self_join: bool, classes: bool = False, strategy: str = "graph", order: str = "threshold_desc", q: int = 2) -> DataFrame:
+    """The pairs of two prepared sides (the same one for a self-join) as join_with_rules gives them, of records or of classes."""
+    candidates = candidate_pairs(rule, left, right, self_join, strategy, order, q)
+    found = candidates.hint("merge").join(left.columns(1), "id1").hint("merge").join(right.columns(2), "id2").where(rule_column(rule, left, right)).select("id1", "id2")
+    if classes:
+        keys = lambda s, k: s.contents.select(F.col("id").alias(f"id{k}"), F.col("key").alias(f"class{k}"))
+        return found.hint("merge").join(keys(left, 1), "id1").hint("merge").join(keys(right, 2), "id2").select("class1", "class2")
+    a = left.members.select(F.col("rec").alias("a"), F.col("id").alias("id1"))
+    b = right.members.select(F.col("rec").alias("b"), F.col("id").alias("id2"))
+    if not self_join:
+        return found.hint("merge").join(a, "id1").hint("merge").join(b, "id2").select(F.col("a").alias("id1"), F.col("b").alias("id2")).distinct()
+    across = found.hint("merge").join(a, "id1").hint("merge").join(b, "id2").where("a != b").select(F.least("a", "b").alias("id1"), F.greatest("a", "b").alias("id2"))
+    # copies satisfy the rule if their content satisfies it with itself: one row a content, no join
+    itself = left.contents.select(F.col("id").alias("id1"), *(F.col(c).alias(f"{c}_{k}") for c in left.contents.columns if c not in ("id", "key") for k in (1, 2)))
+    same = itself.where(rule_column(rule, left, right)).select("id1")
+    copies = same.hint("merge").join(a, "id1").hint("merge").join(b, F.col("id1") == F.col("id2")).where("a < b").select(F.col("a").alias("id1"), F.col("b").alias("id2"))
+    return across.unionByName(copies).distinct()
 
 
-def members(df: DataFrame, rule: Rule, id_col: str, side: str = "left", missing: str = "condition_false") -> DataFrame:
+def members(df: DataFrame, rule: Rule, id_col: str, side: str = "left", missing: str = "condition_false", tokenized: tuple[str, ...] = ()) -> DataFrame:
     """(rec, key): the class of each record, as output="classes" names it."""
-    return Side(df, id_col, rule.conditions, side, missing).keyed
+    return Side(df, id_col, rule.conditions, side, missing, tokenized).keyed
 
 
 def all_conditions_hold(pair_sets: list[DataFrame]) -> DataFrame:

@@ -26,17 +26,22 @@ def _columns(attributes: list[Attribute]) -> list[Column]:
     return [F.col(f"`{a.name}`").alias(a.name.replace("-", "_")) for a in attributes]
 
 
+def _joined(others: str) -> Column:
+    """A map of further attributes as text, so that it can be compared: ``name=value;value|name=value``."""
+    return F.array_join(F.transform(F.map_entries(others), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ";"))), "|").alias(others)
+
+
 def p4_wide(spark: SparkSession, d: str) -> DataFrame:
     wide = wide_table(table(spark, d, "key_values"), "profile_id", "attr_key", "attr_value", PUBLICATION + RARE, VERSIONS, "others")
     lists = [F.array_join(c, "|").alias(f"{c}s") for c in ("author", "cite", "editor")]
-    return wide.select("profile_id", "title", "booktitle", "journal", "publisher", "pages", "year", "volume", "mdate", *lists, *_columns(RARE), "others")
+    return wide.select("profile_id", "title", "booktitle", "journal", "publisher", "pages", "year", "volume", "mdate", *lists, *_columns(RARE), _joined("others"))
 
 
 def p4_nested(spark: SparkSession, d: str) -> DataFrame:
     """n_authors counts the values of ``author``, which dblp has; acm and citations name theirs in one value, ``authors`` and ``by``."""
     rows = nested_to_rows(table(spark, d, "profiles").dropDuplicates(["id"]), "id", "attributes")
     wide = wide_table(rows, "id", "attr_key", "attr_value", [YEAR, Attribute("title"), Attribute("pages"), *NESTED_LISTS, *NESTED_TEXTS], others="others")
-    return wide.select("id", "year", "title", F.size("author").alias("n_authors"), "pages", *_columns(NESTED_LISTS + NESTED_TEXTS), "others")
+    return wide.select("id", "year", "title", F.size("author").alias("n_authors"), "pages", *(F.array_join(a.name, "|").alias(a.name) for a in NESTED_LISTS), *_columns(NESTED_TEXTS), _joined("others"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +70,12 @@ _READ = f"""
  from key_values where profile_id is not null and trim(attr_value) <> ''"""
 _NEWEST = "max_by({0}, struct_pack(u, l, v)) filter ({1})"
 _TEXTS = ", ".join(f"{_NEWEST.format('v', f'k = {c!r}')} {c}" for c in ("title", "booktitle", "journal", "publisher", "pages"))
+_RARE = [(a.name, '"' + a.name.replace("-", "_") + '"') for a in RARE]
+_RARE_TEXTS = ", ".join(f"{_NEWEST.format('v', f'k = {c!r}')} {name}" for c, name in _RARE)
+_KNOWN = ", ".join(repr(a.name) for a in PUBLICATION + RARE)
+_NESTED_LISTS = ", ".join(f"coalesce(string_agg(v, '|' order by v) filter (k = '{a.name}'), '') \"{a.name}\"" for a in NESTED_LISTS)
+_NESTED_TEXTS = ", ".join(f"max(v) filter (k = '{a.name}') \"{a.name.replace('-', '_')}\"" for a in NESTED_TEXTS)
+_NESTED_KNOWN = ", ".join(repr(c) for c in ["year", "title", "pages", *(a.name for a in NESTED_LISTS + NESTED_TEXTS)])
 _LISTS = ", ".join(f"coalesce(string_agg(v, '|' order by u, l, v) filter (k = '{c}'), '') {c}s" for c in ("author", "cite", "editor"))
 _SETS = "select gram, doc_id from qgram_index where gram is not null and doc_id is not null and qgram_pos >= 0"
 _RUNS = f"""select gram, min(doc_id) first_doc, max(doc_id) last_doc, count(*) n_docs from (
@@ -75,13 +86,15 @@ ORACLE = {
  group by all having count(n) = 0 and count(m) = 0""",
     "p4_wide": f"""with r as (select profile_id, k, v, max(u) u, max(l) l, any_value(n) n, any_value(m) m from ({_READ}) group by all),
  w as (select profile_id, {_TEXTS}, {_NEWEST.format('n', "k = 'year' and n is not null")} "year", {_NEWEST.format('n', "k = 'volume' and n is not null")} volume,
- {_NEWEST.format('m', 'm is not null')} mdate, {_LISTS} from r group by 1)
- select e.profile_id, title, booktitle, journal, publisher, pages, "year", volume, mdate, coalesce(authors, '') authors, coalesce(cites, '') cites, coalesce(editors, '') editors
- from (select distinct profile_id from key_values where profile_id is not null) e left join w using (profile_id)""",
+ {_NEWEST.format('m', 'm is not null')} mdate, {_LISTS}, {_RARE_TEXTS} from r group by 1),
+ o as (select profile_id, string_agg(k || '=' || vs, '|' order by k) others from (select profile_id, k, string_agg(v, ';' order by u, l, v) vs from r where k is not null and k not in ({_KNOWN}) group by 1, 2) group by 1)
+ select e.profile_id, title, booktitle, journal, publisher, pages, "year", volume, mdate, coalesce(authors, '') authors, coalesce(cites, '') cites, coalesce(editors, '') editors, {", ".join(name for _, name in _RARE)}, coalesce(others, '') others
+ from (select distinct profile_id from key_values where profile_id is not null) e left join w using (profile_id) left join o using (profile_id)""",
     "p4_nested": f"""with r as (select distinct id, lower(trim(a.attr_key)) k, a.attr_value v from (select id, unnest(attributes) a from (select id, any_value(attributes) attributes from profiles group by id))),
- x as (select id, k, case when trim(v) <> '' then v end v, regexp_extract_all(v, '[0-9]+') d from r)
- select id, max_by(cast(try_cast(d[1] as bigint) as int), v) filter (k = 'year' and len(d) = 1 and try_cast(d[1] as bigint) between 1900 and 2030) "year",
- max(v) filter (k = 'title') title, cast(count(v) filter (k = 'author') as int) n_authors, max(v) filter (k = 'pages') pages from x group by id""",
+ x as (select id, k, case when trim(v) <> '' then v end v, regexp_extract_all(v, '[0-9]+') d from r),
+ o as (select id, string_agg(k || '=' || vs, '|' order by k) others from (select id, k, string_agg(v, ';' order by v) vs from x where v is not null and k not in ({_NESTED_KNOWN}) group by 1, 2) group by 1)
+ select y.*, coalesce(others, '') others from (select id, max_by(cast(try_cast(d[1] as bigint) as int), v) filter (k = 'year' and len(d) = 1 and try_cast(d[1] as bigint) between 1900 and 2030) "year",
+ max(v) filter (k = 'title') title, cast(count(v) filter (k = 'author') as int) n_authors, max(v) filter (k = 'pages') pages, {_NESTED_LISTS}, {_NESTED_TEXTS} from x group by id) y left join o using (id)""",
     "p7_found": f"select gram, first_doc doc_id from ({_RUNS}) where n_docs >= 12",
     "p7_runs": _RUNS,
     "p7_counts": f"select gram, count(*) n_rows, count(distinct doc_id) n_docs from ({_SETS}) group by gram",

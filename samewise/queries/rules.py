@@ -285,9 +285,9 @@ ORACLE = {
     "block_stats": f"with {_INDEX} select count(*) blocks, cast(sum(c) as bigint) postings, round(avg(c), 9) mean_size, max(c) largest from (select count(*) c from p group by token having count(*) > 1)",
     "entropy_js": f"with c as (select count(*) n from (select unnest({_t('p_name')}) x from part) group by x), s as (select sum(n) t from c) select round(-sum(n / t * log2(n / t)), 6) entropy from c, s",
     "entropy_ed": f"with c as (select count(*) n from {_GRAMS.format(id='p_partkey', v='lower(trim(p_name))', t='part')} group by substr(v, i, 2), i), s as (select sum(n) t from c) select round(-sum(n / t * log2(n / t)), 6) entropy from c, s",
-    "attribute_rows": "select s_suppkey id, 's_name' attr_key, s_name attr_value from supplier where s_name is not null union all select s_suppkey, 's_nationkey', cast(s_nationkey as varchar) from supplier where s_nationkey is not null",
-    "field_values": """select * from (select profile_id id, lower(string_agg(attr_value, ' ' order by attr_value)) "value" from (select distinct profile_id, attr_value from key_values where attr_key = 'author' and attr_value is not null) group by 1) where trim("value") <> ''""",
-    "all_attributes_text": "select p_partkey id, concat_ws(' ', p_name, p_brand, cast(p_size as varchar)) \"text\" from part",
+    "attribute_rows": " union all ".join(f"select s_suppkey id, '{c}' attr_key, cast({c} as varchar) attr_value from supplier where {c} is not null" for c in ("s_name", "s_nationkey", "s_acctbal")),
+    "field_values": """select * from (select profile_id id, lower(string_agg(attr_value, ' ' order by attr_value)) "value" from (select distinct profile_id, attr_value from key_values where lower(trim(attr_key)) = 'author' and attr_value is not null) group by 1) where trim("value") <> ''""",
+    "all_attributes_text": "select p_partkey id, concat_ws(' ', p_name, p_brand, p_type, cast(p_size as varchar), cast(p_retailprice as varchar)) \"text\" from part",
     "js_self_join": f"with {_js('a', _F, 'doc_id', 'plot', 0.7)} select * from a",
     "js_self_join_low": f"with {_js('a', _F, 'doc_id', 'title', 0.5)} select * from a",
     "ed_self_join": f"with {_ed('a', 'customer', 'c_custkey', 'c_name', 1)} select * from a",
@@ -302,7 +302,7 @@ ORACLE = {
     "two_table_join": f"with {_js('a', _F, 'doc_id', 'title', 0.6).replace('a.id < b.id', 'true')}, {_js('b', _F, 'doc_id', 'director', 0.5).replace('a.id < b.id', 'true')} select * from a intersect select * from b",
     "two_table_cross_attr": f"""with l as (select s_suppkey id, lower(trim(s_name)) v, unnest({_t('s_name')}) x, len({_t('s_name')}) n from supplier), r as (select c_custkey id, lower(trim(c_name)) v, unnest({_t('c_name')}) x, len({_t('c_name')}) n from customer)
  select l.id id1, r.id id2 from l join r on l.x = r.x group by l.id, r.id, l.v, r.v, l.n, r.n having count(*) >= 0.3 * (l.n + r.n - count(*)) - 1e-9 and levenshtein(l.v, r.v) <= 8""",
-    "two_table_rows": f"""with l as (select p_partkey k, p_name, p_brand, unnest({_t('p_name')}) x, len({_t('p_name')}) n from part where p_size <= 3), r as (select p_partkey k, p_name, unnest({_t('p_name')}) x, len({_t('p_name')}) n from part where p_size > 48)
+    "two_table_rows": f"""with l as (select p_partkey k, p_name, p_brand, unnest({_t('p_name')}) x, len({_t('p_name')}) n from part), r as (select p_partkey k, p_name, unnest({_t('p_name')}) x, len({_t('p_name')}) n from part)
  select l.k left_p_partkey, l.p_name left_p_name, l.p_brand left_p_brand, r.k right_p_partkey, r.p_name right_p_name from l join r on l.x = r.x group by all, l.n, r.n having count(*) >= 0.6 * (l.n + r.n - count(*)) - 1e-9""".replace("group by all, l.n, r.n", "group by l.k, l.p_name, l.p_brand, r.k, r.p_name, l.n, r.n"),
     "all_conditions_group": _SETS + "select * from a intersect select * from b intersect select * from c",
     "pairs_intersect": _SETS + "select * from a intersect select * from b intersect select * from c",
