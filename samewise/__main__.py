@@ -26,11 +26,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--strategy", choices=STRATEGIES, default="graph")
     p.add_argument("--order", choices=ORDERS, default="threshold_desc")
     p.add_argument("--missing", choices=["condition_false", "drop_record"], default="condition_false")
+    p.add_argument("--q", type=int, default=2, help="length of the q-grams of edit distances")
+    p.add_argument("--multi-line", action="store_true", help="cells of a CSV file hold line breaks")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    options = {"separator": a.separator, "trim": True} if a.format == "csv" else {}
+    options = {"separator": a.separator, "trim": True, "multi_line": a.multi_line} if a.format == "csv" else {}
     read = lambda path: read_records(spark, path, a.format, **options)
-    pairs = join_with_rules(read(a.data), parse_rule(a.rule), a.id, read(a.other) if a.other else None, a.other_id or a.id, missing=a.missing, strategy=a.strategy, order=a.order)
+    pairs = join_with_rules(read(a.data), parse_rule(a.rule), a.id, read(a.other) if a.other else None, a.other_id or a.id, missing=a.missing, strategy=a.strategy, order=a.order, q=a.q)
     write_pairs(pairs, a.out)
 
 

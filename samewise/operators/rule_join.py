@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from samewise.functions import filters
 from samewise.functions.text import normalize, tokens
 from samewise.operators.candidates import ed_candidates, js_candidates
+from samewise.operators.statistics import attribute_clusters
 from samewise.plans.planner import ORDERS, order_blocks
 from samewise.plans.rules import ED, JS, Condition, Rule
 from samewise.session import checkpoint, forget
@@ -183,13 +184,17 @@ def all_conditions_hold(pair_sets: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).groupBy("id1", "id2").agg(F.count("*").alias("n")).where(F.col("n") == len(rows)).select("id1", "id2")
 
 
-def clustered_join(df: DataFrame, id_col: str, clusters: list[tuple[list[str], float]], least: float, strategy: str = "graph") -> DataFrame:
+def clustered_join(df: DataFrame, id_col: str, clusters: list[tuple[list[str], float]] | None, least: float, strategy: str = "graph") -> DataFrame:
     """Jaccard pairs over clusters of attributes, each (attributes, entropy): the threshold falls as a cluster's entropy rises.
 
+    Without ``clusters`` they are those of attribute_clusters; clusters without entropy say nothing and are left out.
     A cluster's text joins its attributes; its threshold is min(1, least * highest entropy / own). Pairs of all clusters are united.
     """
     from samewise.plans.rules import js
 
+    clusters = [(names, e) for names, e in (attribute_clusters(df, id_col) if clusters is None else clusters) if e > 0]
+    if not clusters:
+        return df.select(F.col(f"`{id_col}`").alias("id1"), F.col(f"`{id_col}`").alias("id2")).limit(0)
     highest = max(e for _, e in clusters)
     out = []
     for names, e in clusters:

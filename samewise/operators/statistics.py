@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from samewise.functions.text import qgrams
+from samewise.functions.text import normalize, qgrams, tokens
+from samewise.plans.rules import JS, Rule
 
 
 def ranked(counts: DataFrame, item: str, count: str) -> DataFrame:
@@ -48,3 +51,48 @@ def block_statistics(postings: DataFrame, key: str) -> DataFrame:
     """One row (blocks, postings, mean_size, largest) over the blocks of at least two postings."""
     sizes = postings.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
     return sizes.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"), F.avg("n").alias("mean_size"), F.max("n").alias("largest"))
+
+
+def condition_counts(df: DataFrame, rule: Rule, q: int = 2) -> DataFrame:
+    """(kind, attr, item, n): occurrences of the tokens (JS, counted once a record) and q-grams (ED) of every attribute of a rule, in one pass."""
+
+    def cell(name: str, kind: str) -> Column:
+        value = normalize(F.col(f"`{name}`").cast("string"))
+        items = tokens(value) if kind == JS else F.transform(qgrams(value, q), lambda g: g["gram"])
+        return F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("attr"), x.alias("item")))
+
+    cells = [cell(*key) for key in dict.fromkeys((c.left, c.kind) for c in rule.conditions)]
+    rows = df.select(F.explode(F.flatten(F.array(*cells))).alias("x")).select("x.*")
+    return rows.groupBy("kind", "attr", "item").agg(F.count("*").alias("n"))
+
+
+def attribute_clusters(df: DataFrame, id_col: str, least: float = 0.3) -> list[tuple[list[str], float]]:
+    """Clusters of attributes whose vocabularies are alike, each with the entropy of its tokens.
+
+    Attributes are linked to the most similar one (ties: the first by name) if the Jaccard similarity of their token sets is at least
+    ``least``; linked ones form a cluster, others are clusters of their own. Attributes without a token are left out. Tokens
+    are reduced to the set of attributes that have them; only counts by such sets, of columns, come to the driver.
+    """
+    names = sorted(c for c in df.columns if c != id_col)
+    if not names:
+        return []
+
+    def cell(k: int) -> Column:
+        own = F.coalesce(tokens(normalize(F.col(f"`{names[k]}`").cast("string"))), F.array().cast("array<string>"))
+        return F.transform(own, lambda t: F.struct(F.lit(k).alias("a"), t.alias("t")))
+
+    cells = [cell(k) for k in range(len(names))]
+    counted = df.select(F.explode(F.flatten(F.array(*cells))).alias("x")).select("x.*").groupBy("a", "t").agg(F.count("*").alias("n"))
+    sets = counted.groupBy("t").agg(F.array_sort(F.collect_set("a")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()  # sets of columns
+    size = {(a, b): sum(r["n"] for r in sets if a in r["s"] and b in r["s"]) for a in range(len(names)) for b in range(len(names))}
+    alike = lambda a, b: size[a, b] / max(size[a, a] + size[b, b] - size[a, b], 1)
+    group = {a: a for a in range(len(names)) if size[a, a]}
+    for a in list(group):
+        best = max((b for b in group if b != a), key=lambda b: (alike(a, b), -b), default=None)
+        if best is not None and alike(a, best) >= least:
+            old, new = max(group[a], group[best]), min(group[a], group[best])
+            group = {x: new if g == old else g for x, g in group.items()}
+    of = F.element_at(F.create_map(*(F.lit(x) for pair in group.items() for x in pair)), F.col("a")) if group else F.lit(0)
+    counts = counted.groupBy(of.alias("g"), "t").agg(F.sum("n").alias("n")).groupBy("g").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    rows = counts.collect()  # a row a cluster
+    return [([names[a] for a in group if group[a] == r["g"]], math.log2(r["t"]) - r["s"] / r["t"]) for r in sorted(rows, key=lambda r: r["g"])]

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samewise.functions.text import normalize, qgrams, strip, tokens, word_set
-from samewise.operators.candidates import ed_postings, gram_frequency, js_postings, ordered_grams, ordered_tokens, token_frequency
+from samewise.operators.candidates import ed_gram_candidates, ed_postings, gram_frequency, js_postings, ordered_grams, ordered_tokens, token_frequency
 from samewise.operators.evaluate import pairs_quality, translate_pairs
-from samewise.operators.rule_join import all_conditions_hold, clustered_join, join_with_rules, minhash_candidates
-from samewise.operators.statistics import block_statistics, gram_entropy, ranked, token_entropy
+from samewise.operators.rule_join import all_conditions_hold, clustered_join, join_with_rules, members, minhash_candidates
+from samewise.operators.statistics import block_statistics, condition_counts, gram_entropy, ranked, token_entropy
 from samewise.plans.rules import Rule, ed, from_rows, from_tuples, js, parse_rule
 from samewise.queries.tables import table
-from samewise.sources.io import extract_field, record_text, to_attributes
+from samewise.session import scratch_path
+from samewise.sources.io import extract_field, numbered, read_lines, read_profiles, record_text, to_attributes, write_pairs
 
 Q = 2
 
@@ -228,6 +229,67 @@ def truth_remap(spark: SparkSession, d: str) -> DataFrame:
     return translate_pairs(pairs, ids, ids)
 
 
+def ed_count_filter(spark: SparkSession, d: str) -> DataFrame:
+    frame = _values(_films(spark, d), "doc_id", "title")
+    return ed_gram_candidates(frame, frame, 2, True, Q)
+
+
+def ed_and(spark: SparkSession, d: str) -> DataFrame:
+    return join_with_rules(table(spark, d, "customer"), ed("c_name", 1) & ed("c_mktsegment", 2), "c_custkey", q=3)
+
+
+def pretokenized_join(spark: SparkSession, d: str) -> DataFrame:
+    films = _films(spark, d).select("doc_id", tokens(normalize(F.col("plot"))).alias("plot"))
+    return join_with_rules(films, js("plot", 0.7), "doc_id", tokenized=("plot",))
+
+
+def js_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Links of classes of equal titles, and how many films each side has."""
+    films = _films(spark, d)
+    links = join_with_rules(films, js("title", 0.5), "doc_id", output="classes")
+    sizes = members(films, js("title", 0.5), "doc_id").groupBy("key").agg(F.min("rec").alias("first"), F.count("*").alias("n"))
+    side = lambda k: sizes.select(F.col("key").alias(f"class{k}"), F.col("first").alias(f"first{k}"), F.col("n").alias(f"n{k}"))
+    both = links.hint("merge").join(side(1), "class1").hint("merge").join(side(2), "class2")
+    flip = F.col("first1") > F.col("first2")
+    pick = lambda c, a, b: F.when(flip, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}"))
+    return both.select(pick("first", 1, 2).alias("first1"), pick("first", 2, 1).alias("first2"), pick("n", 1, 2).alias("n1"), pick("n", 2, 1).alias("n2"))
+
+
+def rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    return condition_counts(_films(spark, d), js("title", 0.8) & js("director", 0.7) | ed("release_year", 1))
+
+
+def csv_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as CSV, read as profiles, one attribute a row."""
+    path = scratch_path(spark)
+    table(spark, d, "part").write.csv(path, header=True, quote='"', escape='"')
+    return read_profiles(spark, path, "p_partkey", 5).select("id", "original_id", F.explode("attributes").alias("a")).select("id", "original_id", "a.attr_key", "a.attr_value")
+
+
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts written as lines, in several files, and numbered as they are read."""
+    path = scratch_path(spark)
+    table(spark, d, "part").repartitionByRange(7, "p_partkey").sortWithinPartitions("p_partkey").select("p_name").write.text(path)
+    return read_lines(spark, path)
+
+
+def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
+    return numbered(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 10)
+
+
+def written_pairs(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark)
+    write_pairs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id1"), F.col("s_nationkey").alias("id2")), path)
+    return spark.read.csv(path, schema="id1 long, id2 long")
+
+
+def lsh_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The number of similar pairs, and whether MinHash candidates hold at least nine tenths of them."""
+    films = _films(spark, d)
+    quality = pairs_quality(minhash_candidates(films, "doc_id", "plot", 0.7), join_with_rules(films, js("plot", 0.8), "doc_id"))
+    return quality.select("truth", (F.coalesce("pc", F.lit(1.0)) >= 0.9).alias("reached"))
+
+
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     return minhash_candidates(_films(spark, d), "doc_id", "plot", 0.7)
 
@@ -238,7 +300,8 @@ QUERIES = {
         tokenize, token_df, token_rank, qgram_list, qgram_df, js_prefix_index, ed_prefix_index, block_stats, entropy_js, entropy_ed, attribute_rows, field_values,
         all_attributes_text, js_self_join, js_self_join_low, ed_self_join, ed_self_join_short, rule_and, rule_or, rule_dnf, rule_from_table, rule_text_form,
         rule_missing_drop, rule_same_attribute, join_rows, two_table_join, two_table_cross_attr, two_table_rows, chain_strategy, dedup_strategy, ordered_by_entropy,
-        ordered_by_block_size, all_conditions_group, pairs_intersect, pairs_union, pairs_except, clustered, pc_pq, truth_remap, lsh_candidates,
+        ordered_by_block_size, all_conditions_group, pairs_intersect, pairs_union, pairs_except, clustered, pc_pq, truth_remap, lsh_candidates, lsh_recall, ed_count_filter, ed_and, pretokenized_join,
+        js_classes, rule_counts, csv_profiles, text_lines, numbered_rows, written_pairs,
     )
 }
 
@@ -312,4 +375,19 @@ ORACLE = {
     "pc_pq": f"""with {_js('a', _F, 'doc_id', 'plot', 0.8)}, {_js('b', _F, 'doc_id', 'plot', 0.6)}, c as (select (select count(*) from a) candidates, (select count(*) from b) truth, (select count(*) from (select * from a intersect select * from b)) found)
  select candidates, truth, found, round(found / truth, 9) pc, round(found / candidates, 9) pq from c""",
     "truth_remap": "with m as (select imdbid, min(doc_id) i from films where imdbid is not null group by 1) select m.i id1, m.i id2 from (select distinct imdbid from documents where imdbid is not null) join m using (imdbid)",
+    "lsh_recall": f"with {_js('a', _F, 'doc_id', 'plot', 0.8)} select count(*) truth, true reached from a",
+    "ed_count_filter": f"""with g as (select id, substr(v, i, 2) x, i, count(*) over (partition by id) n from {_GRAMS.format(id='doc_id', v='v', t=f"(select doc_id, lower(trim(title)) v from {_F})")}),
+ r as (select id, x, n, row_number() over (partition by id, x order by i) k from g where n > 4)
+ select a.id id1, b.id id2, cast(count(*) as int) common from r a join r b on a.x = b.x and a.k = b.k and a.id < b.id and abs(a.n - b.n) <= 2 group by a.id, b.id, a.n, b.n having count(*) >= greatest(a.n, b.n) - 4""",
+    "ed_and": f"with {_ed('a', 'customer', 'c_custkey', 'c_name', 1)}, {_ed('b', 'customer', 'c_custkey', 'c_mktsegment', 2)} select a.* from a join b using (id1, id2)",
+    "pretokenized_join": f"with {_js('a', _F, 'doc_id', 'plot', 0.7)} select * from a",
+    "js_classes": f"""with c as (select min(doc_id) f, count(*) n, lower(trim(title)) v from {_F} where title is not null group by 3), {_js('a', "(select f doc_id, v title from c)", 'doc_id', 'title', 0.5)}
+ select id1 first1, id2 first2, x.n n1, y.n n2 from a join c x on x.f = id1 join c y on y.f = id2""",
+    "rule_counts": f"""select kind, attr, item, count(*) n from (select 'JS' kind, 'title' attr, unnest({_t('title')}) item from {_F} union all select 'JS', 'director', unnest({_t('director')}) from {_F}
+ union all select 'ED', 'release_year', substr(v, i, 2) from {_GRAMS.format(id='doc_id', v='v', t=f"(select doc_id, lower(trim(release_year)) v from {_F})")}) group by 1, 2, 3""",
+    "csv_profiles": "with p as (select *, row_number() over (order by cast(p_partkey as varchar)) + 4 id from part) "
+    + " union all ".join(f"select id, cast(p_partkey as varchar) original_id, '{c}' attr_key, cast({c} as varchar) attr_value from p where {c} is not null" for c in ("p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
+    "text_lines": "select row_number() over (order by p_partkey) - 1 id, p_name \"text\" from part",
+    "numbered_rows": "select c_custkey, c_name, row_number() over (order by c_custkey) + 9 id from customer",
+    "written_pairs": "select cast(s_suppkey as bigint) id1, cast(s_nationkey as bigint) id2 from supplier",
 }

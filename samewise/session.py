@@ -29,6 +29,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the session ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def checkpoint(df: DataFrame, **counts: Column) -> DataFrame:
     """``df``, computed once and written as a table to the shared checkpoint folder, so that a lost executor costs a re-read only.
 
@@ -38,11 +46,9 @@ def checkpoint(df: DataFrame, **counts: Column) -> DataFrame:
     own; ``counted`` of the result gives them.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     seen = Observation() if counts else None
     (df.observe(seen, *(c.alias(n) for n, c in counts.items())) if counts else df).write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._samewise_path = path
     out._samewise_counts = seen.get if counts else {}

@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
 from samewise.operators.evaluate import pairs_quality, translate_pairs
-from samewise.operators.statistics import block_statistics, ranked, token_entropy
+from samewise.operators.statistics import attribute_clusters, block_statistics, condition_counts, ranked, token_entropy
 from samewise.plans.rules import ed, js
-from samewise.sources.io import extract_field, numbered, read_csv, read_lines, read_records, record_text, to_attributes, write_pairs
+from samewise.sources.io import extract_field, numbered, read_csv, read_lines, read_profiles, read_records, record_text, to_attributes, write_pairs
 from samewise.streaming.matching import match_stream
 
 
@@ -74,6 +74,9 @@ def test_stream(spark, tmp_path):
     q = match_stream(stream, ref, js("t", 1.0) | ed("t", 2), "id", "id", lambda df, n: got.extend(tuple(r) for r in df.collect()), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert set(got) == {(1, 7), (2, 8)}
+    q = match_stream(stream, ref.limit(0), js("t", 1.0), "id", "id", lambda df, n: got.append(df.count()), str(tmp_path / "cp2"))
+    q.awaitTermination(120)
+    assert got[-1] == 0
 
 
 def test_command_line(spark, tmp_path):
@@ -85,3 +88,36 @@ def test_command_line(spark, tmp_path):
     assert [tuple(r) for r in spark.read.csv(str(tmp_path / "o")).collect()] == [("1", "2")]
     run([str(tmp_path / "a.csv"), "key", "t|JS|1;n|ED|0", str(tmp_path / "p"), "--separator", ";", "--other", str(tmp_path / "b.csv"), "--other-id", "k", "--strategy", "chain"])
     assert {tuple(r) for r in spark.read.csv(str(tmp_path / "p")).collect()} == {("1", "9"), ("2", "9")}
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(900)]
+    for name, part in (("a.txt", lines[:3]), ("b.txt", lines[3:800]), ("c.txt", []), ("d.txt", lines[800:])):
+        (tmp_path / name).write_text("".join(f"{x}\n" for x in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("2000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = sorted(tuple(r) for r in read_lines(spark, str(tmp_path), 5).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == [(k + 5, x) for k, x in enumerate(lines)]
+
+
+def test_profiles(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("key;t;n\nb ;red|tree;1\na;;2\n")
+    rows = read_profiles(spark, str(tmp_path / "a.csv"), "key", 3, ";", inner_separator="|").orderBy("id").collect()
+    assert [(r["id"], r["original_id"], [tuple(a) for a in r["attributes"]]) for r in rows] == [(3, "a", [("n", "2")]), (4, "b", [("t", "red"), ("t", "tree"), ("n", "1")])]
+    (tmp_path / "b.csv").write_text('k,t\n1,"two\nlines"\n2,x\n')
+    assert read_csv(spark, str(tmp_path / "b.csv"), multi_line=True).count() == 2
+    (tmp_path / "c.csv").write_text("k,t\n")
+    assert read_profiles(spark, str(tmp_path / "c.csv"), "k").count() == 0 and read_profiles(spark, str(tmp_path / "a.csv"), separator=";").count() == 2
+
+
+def test_counts_and_clusters_of_attributes(spark):
+    df = spark.createDataFrame([(1, "Red tree", "tree red", "x1", None), (2, "blue tree", "tree", "x2", None), (3, None, "blue", "x1", None)], "id long, a string, b string, c string, d string")
+    got = {tuple(r) for r in condition_counts(df, js("a", 0.5) & ed("c", 1)).collect()}
+    assert got == {("JS", "a", "tree", 2), ("JS", "a", "red", 1), ("JS", "a", "blue", 1), ("ED", "c", "x1", 2), ("ED", "c", "x2", 1)}
+    clusters = attribute_clusters(df, "id", 0.5)
+    assert [names for names, _ in clusters] == [["a", "b"], ["c"]] and abs(clusters[1][1] - 0.9182958) < 1e-6
+    assert attribute_clusters(df.limit(0), "id") == []

@@ -167,3 +167,41 @@ def test_film_queries_keep_accents(spark, tmp_path):
         for g, _ in grams((f["director"] or "").lower()):
             df[g] = df.get(g, 0) + 1
     assert index == {(f["id"], g, i) for f in films if f["director"] for g, i in sorted(grams(f["director"].lower()), key=lambda x: (df[x[0]], *x))[:5]}
+
+
+def test_edit_distance_of_all_lengths(spark):
+    from samewise.operators.candidates import deletion_bound, ed_candidates, ed_gram_candidates
+
+    assert deletion_bound(1, 256) == 255 and deletion_bound(2, 256) == 22
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abc") for _ in range(n)) for n in (1, 2, 4, 6, 8, 11, 14, 18, 25)]
+
+    def edited(t, n):
+        for _ in range(n):
+            k = rnd.randrange(len(t) + 1)
+            t = rnd.choice([t[:k] + rnd.choice("abc") + t[k:], t[:k] + t[k + 1 :], t[:k] + rnd.choice("abc") + t[k + 1 :]])
+        return t
+
+    texts = sorted({t for b in base for n in range(4) for t in [edited(b, n)] if t})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, value string")
+    for k, q, most in ((1, 2, 3), (2, 2, 20), (3, 3, 10), (5, 2, 256)):
+        got = [tuple(r) for r in ed_candidates(df, df, k, True, q, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if lev(a, b) <= k}, (k, q, most)
+    near = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if lev(a, b) <= 1 and min(len(a), len(b)) > 3}
+    plan = ed_gram_candidates(df, df, 1, True, 2)
+    assert near <= {tuple(r)[:2] for r in plan.collect()} and "BroadcastHashJoin" not in plan._jdf.queryExecution().toString()
+
+
+def test_tokenized_columns_and_two_edit_distances(spark):
+    df = spark.createDataFrame([(1, ["New York", "x", None, ""], "abc", "k1"), (2, ["x", "New York", "x"], "abd", "k1"), (3, ["New", "York", "x"], "abc", "k9x"), (4, [], None, "k1"), (5, None, "abe", "k2")], "id long, t array<string>, s string, u string")
+    pairs = join_with_rules(df, js("t", 1.0), "id", tokenized=("t",))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)] and "BroadcastHashJoin" not in pairs._jdf.queryExecution().toString()
+    assert {tuple(r) for r in join_with_rules(df, ed("s", 1) & ed("u", 1), "id").collect()} == {(1, 2), (1, 5), (2, 5)}
+    with pytest.raises(ValueError):
+        join_with_rules(df, ed("t", 1), "id", tokenized=("t",))
+
+
+def test_clusters_are_found(spark):
+    df = spark.createDataFrame([(1, "a b", "b a", "q"), (2, "a b", "a c", "r"), (3, "z", "c", "q")], "id long, t string, u string, w string")
+    assert (1, 2) in {tuple(r) for r in clustered_join(df, "id", None, 0.3).collect()}
+    assert clustered_join(df.limit(0), "id", None, 0.3).count() == 0
