@@ -89,11 +89,12 @@ def document_rates(counted: DataFrame, targets: dict[str, float], repeats: dict[
 
 
 def round_to_copies(rated: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The input with ``copies``: each rate rounded down or up so that the tokens of each source come to its target.
+    """The input with ``copies``: each rate rounded down or up so that the tokens of each source come nearest to its target.
 
-    A document is rounded up if u / fraction is at most the threshold of its source, u being uniform by a hash of the id;
-    the threshold (about 1) is found by two passes over sums in 1,024 bins, so a source misses its target by less than
-    the tokens of the few documents in one of 1,048,576 bins.
+    A document is rounded up if its place z = u / fraction is below the threshold of its source, u being uniform by a hash of
+    the id. The threshold (about 1) is found by two passes over sums in 1,024 bins; the documents of the one bin of a
+    1,048,576th that the target falls in are all rounded up or all down, whichever comes nearer. So a source misses its
+    target by at most half of the tokens of the documents in one such bin, usually of one document, if enough documents have a fraction.
     """
     u = (F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     base = F.floor(F.col("rate") + F.lit(1e-12))
@@ -102,7 +103,7 @@ def round_to_copies(rated: DataFrame, targets: dict[str, float]) -> DataFrame:
     rows = rated.withColumns({"base": base, "z": z})
     whole = {r["source"]: r["t"] or 0 for r in rows.groupBy("source").agg(F.sum(F.col("base") * F.col("n_tokens")).alias("t")).collect()}
     width, start, gone = {s: 2.0 / BINS for s in targets}, dict.fromkeys(targets, 0.0), {s: float(whole.get(s, 0)) for s in targets}
-    for _ in range(2):
+    for step in range(2):
         first, size = _lookup(start, F.col("source")), _lookup(width, F.col("source"))
         bin_ = F.floor((F.col("z") - first) / size)
         sums: dict[str, dict[int, int]] = {}
@@ -110,9 +111,12 @@ def round_to_copies(rated: DataFrame, targets: dict[str, float]) -> DataFrame:
             sums.setdefault(r["source"], {})[r["b"]] = r["t"]
         for s, by in sums.items():
             k = 0
-            while k < BINS - 1 and gone[s] + by.get(k, 0) <= targets[s]:
+            while k < BINS and gone[s] + by.get(k, 0) <= targets[s]:
                 gone[s] += by.get(k, 0)
                 k += 1
+            # the bin that goes beyond the target is taken if that comes nearer
+            if step and k < BINS and gone[s] + by.get(k, 0) - targets[s] < targets[s] - gone[s]:
+                k += 1
             start[s] += k * width[s]
             width[s] /= BINS
     up = F.coalesce(F.col("z") < _lookup(start, F.col("source")), F.lit(False)) if targets else F.lit(False)
@@ -139,9 +143,20 @@ def mix_sources(counted: DataFrame, mix_targets: DataFrame, total: float | None
 
 
 def mix_report(mix: DataFrame, mix_targets: DataFrame) -> DataFrame:
-    """One row a source of ``mix_targets``: its target and actual share of the mix, tokens, documents used and repeats."""
-    by = mix.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mix_tokens"), F.count_if(F.col("copies") > 0).alias("used_docs"), F.max("copies").alias("most_repeats"))
+    """One row a source of ``mix_targets``: its target and actual share of the mix, tokens, documents used and repeats.
+
+    target_tokens is what the source was to have (null if it has no document), miss_tokens what it has beyond that, and
+    largest_tokens the size of its largest document.
+    """
+    by = mix.groupBy("source").agg(
+        F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("copies") * F.col("n_tokens")).alias("mix_tokens"), F.count_if(F.col("copies") > 0).alias("used_docs"),
+        F.max("copies").alias("most_repeats"), F.max("target_tokens").alias("target_tokens"), F.max("n_tokens").alias("largest_tokens"),
+    )
     total = by.agg(F.sum("mix_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     rows = mix_targets.join(by, "source", "left").join(F.broadcast(total))  # the total is one row
-    return rows.select("source", "target_share", "max_repeats", F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), zero("available_tokens"), zero("mix_tokens"), zero("used_docs"), zero("most_repeats"), F.coalesce(F.col("mix_tokens") / F.col("available_tokens"), F.lit(0.0)).alias("mean_repeats"))
+    share = F.coalesce(F.col("mix_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share")
+    return rows.select(
+        "source", "target_share", "max_repeats", share, zero("available_tokens"), zero("mix_tokens"), zero("used_docs"), zero("most_repeats"),
+        F.coalesce(F.col("mix_tokens") / F.col("available_tokens"), F.lit(0.0)).alias("mean_repeats"), "target_tokens", (F.col("mix_tokens") - F.col("target_tokens")).alias("miss_tokens"), zero("largest_tokens"),
+    )

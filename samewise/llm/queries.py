@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from samewise.functions.text import normalize, strip, word_set, words
 from samewise.llm.components import connected_components
-from samewise.llm.entity_match import match_profiles
+from samewise.llm.entity_match import match_profiles, reliability
 from samewise.llm.mixing import mix_report, mix_sources
 from samewise.llm.near_dup import near_duplicate_groups
 from samewise.llm.overlap_join import record_sets, similar_pairs, similar_records
@@ -78,6 +78,13 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(*_mix(spark, d))
 
 
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Each source: its cap, whether no document is used more often, and whether it misses its target by no more than its largest document."""
+    report = p9_report(spark, d)
+    near = F.abs(F.coalesce("miss_tokens", F.lit(0.0))) <= F.col("largest_tokens")
+    return report.select("source", "max_repeats", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_cap"), near.alias("near_target"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     lang = F.lower(strip(F.col("lang")))
@@ -101,7 +108,11 @@ def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return match_profiles(table(spark, d, "profiles"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_classes, p5_found, p6_found, p6_matches, p8_ids, p8_round_trip, p9_mix, p9_report, p10_found, p10_levels)}
+def p6_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return reliability(table(spark, d, "profiles"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_terms, p3_found, p3_classes, p5_found, p6_found, p6_matches, p6_reliability, p8_ids, p8_round_trip, p9_mix, p9_report, p9_bounds, p10_found, p10_levels)}
 
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _OCCURRENCES = f"""select profile_id, lower(trim(attr_key)) k, unnest({_WORDS.format('attr_value')}) term from key_values where profile_id is not null"""
@@ -133,5 +144,6 @@ ORACLE = {
   union select b.class_id, a.class_id from p join c a on a.doc_id = doc_id1 join c b on b.doc_id = doc_id2) where x <> y group by 1)
  select doc_id, class_id, coalesce(n, 0) n_linked_classes from c left join l using (class_id)""",
     "p5_found": _grouped("select distinct id1 a, id2 b from match_pairs where id1 <> id2", ("rec_id", "group_id")),
+    "p9_bounds": "select source, max_repeats, true within_cap, true near_target from mix_targets",
     "p8_round_trip": "select doc_id, md5(coalesce(text, '')) text_md5, cast(strlen(coalesce(text, '')) as int) n_bytes, true offsets_within from documents",
 }
