@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
@@ -85,6 +86,20 @@ def ship_package(spark: SparkSession) -> None:
     sc._samewise_shipped = True
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Gives a file of the driver's machine to the workers of a session, once; ``shipped`` finds it there."""
+    sc = spark.sparkContext
+    have = sc.__dict__.setdefault("_samewise_files", set())
+    if path not in have and Path(path).is_file():
+        sc.addFile(path)
+        have.add(path)
+
+
+def shipped(path: str) -> str:
+    """In a worker: the path itself if it exists there, else the file that ship_file brought."""
+    return path if Path(path).exists() else SparkFiles.get(Path(path).name)
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """``df.mapInArrow`` with workers that know this package."""
     ship_package(df.sparkSession)
