@@ -16,7 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +118,11 @@ class Vocabulary:
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.offsets = [0]
 
+    @cached_property
+    def pieces(self) -> pa.Array:
+        """The bytes of each id."""
+        return pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.binary())
+
     def decode(self, ids) -> bytes:
         return b"".join(self.bytes_of[int(i)] for i in ids)
 
