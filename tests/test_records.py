@@ -58,13 +58,13 @@ def test_wide_queries_keep_every_attribute(spark, tmp_path):
     rows = spark.createDataFrame([(1, k, f"v {k}") for k in keys], "profile_id long, attr_key string, attr_value string")
     rows.withColumns({c: F.current_timestamp() for c in ("updated_at", "loaded_at")}).write.parquet(str(tmp_path / "key_values.parquet"))
     got = p4_wide(spark, str(tmp_path)).first().asDict()
-    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys[:-1]) and got["others"] == {"tt": ["v tt"]}
+    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys[:-1]) and got["others"] == "tt=v tt"
     keys = ["venue", "booktitle", "journal", "publtype", "title-bibtex", "name", "in", "date", "citation"]
     nested = [(1, [*((k, f"v {k}") for k in keys), ("author", "B"), ("author", "A"), ("authors", "C, D"), ("by", "E"), ("tt", "F")])]
     spark.createDataFrame(nested, "id long, attributes array<struct<attr_key: string, attr_value: string>>").write.parquet(str(tmp_path / "profiles.parquet"))
     got = p4_nested(spark, str(tmp_path)).first().asDict()
-    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys) and got["others"] == {"tt": ["F"]}
-    assert (got["author"], got["n_authors"], got["authors"], got["by"]) == (["A", "B"], 2, ["C, D"], ["E"])
+    assert all(got[k.replace("-", "_")] == f"v {k}" for k in keys) and got["others"] == "tt=F"
+    assert (got["author"], got["n_authors"], got["authors"], got["by"]) == ("A|B", 2, "C, D", "E")
 
 
 def test_wide_has_one_shuffle(spark):
