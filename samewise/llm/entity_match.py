@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from samewise.llm.near_dup import image_distance, images, signatures
 from samewise.llm.profile_fields import AUTHOR_BITS, COLUMNS, SCHEMA, TITLE_BITS, VENUE_CODES, field_columns
-from samewise.llm.sketch import BUCKETS, counts_batch, frequency_sketch, mix, summed
+from samewise.functions.sketch import BUCKETS, counts_batch, frequency_sketch, mix, summed
 from samewise.session import checkpoint, forget, map_arrow
 
 U = np.uint64

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.components import connected_components
-from samewise.llm.sketch import bucket, counts_batch, mix, summed
+from samewise.functions.sketch import bucket, counts_batch, mix, summed
 from samewise.session import checkpoint, map_arrow
 
 EPS = 1e-9

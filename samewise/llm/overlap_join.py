@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samewise.llm.sketch import bucket, frequency_sketch, mix
+from samewise.functions.sketch import bucket, frequency_sketch, mix
 from samewise.session import checkpoint, map_arrow
 
 EPS = 1e-9

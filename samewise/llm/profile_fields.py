@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from samewise.llm.sketch import mix
+from samewise.functions.sketch import mix
 
 U = np.uint64
 #: Bits of the vector of a title's and of the surnames' 2-grams.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samewise.llm.bpe import LETTER, NUMBER, OTHER, class_table
-from samewise.llm.sketch import mix
+from samewise.functions.sketch import mix
 from samewise.session import map_arrow
 
 U = np.uint64
