@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from samewise.functions.text import ascii_digits, is_blank, strip
 
 # The English month names.
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-MONTH_REST = "uary ruary ch il  e y ust tember ober ember ember".split(" ")
+MONTHS = "january february march april may june july august september october november december".split()
 
 
 def read_number(low: int, high: int) -> Callable[[Column], Column]:
@@ -46,8 +45,8 @@ def read_date(v: Column) -> Column:
         numeric(r"^([0-9]{1,2})\s*([-/.])\s*([0-9]{1,2})\s*\2\s*([0-9]{4})" + after, 4, 3, 1),
         numeric("^([0-9]{4})([0-9]{2})([0-9]{2})$", 1, 2, 3),
     ]
-    name = "(" + "|".join(f"{m}(?:{rest})?" for m, rest in zip(MONTHS, MONTH_REST, strict=True)) + r"|sept)\.?"
-    numbers = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS) for x in (m, str(k + 1))))
+    name = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + r"|sept)\.?"
+    numbers = F.create_map(*(F.lit(x) for k, m in enumerate(MONTHS) for x in (m[:3], str(k + 1))))
     day = "([0-9]{1,2})(?:st|nd|rd|th)?\\.?"
     for pattern, (y, m, d) in (
         (rf"^{day}[\s-]*(?:of\s+)?{name}[\s,-]*([0-9]{{4}}){after}", (3, 2, 1)),
