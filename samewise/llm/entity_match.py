@@ -256,11 +256,13 @@ def fit_weights(patterns: np.ndarray, across: np.ndarray, within: np.ndarray, ra
     patterns: [patterns, fields] levels; across: pairs of different sources with each, matches or not; within: pairs of one
     source, all of them different, of which there are ``ratio`` times as many across sources. The first step takes pairs
     that agree in title and authors for matches, less the different ones of that kind expected at each level, and those of
-    one source for variants. A missing value weighs nothing.
+    one source for variants; all others count for matches with a tenth, but with no more than a tenth of those that agree in
+    all, as unrelated pairs grow with the square of the profiles and matches don't. A missing value weighs nothing.
     """
     col = {n: patterns[:, k] for k, n in enumerate(LEVELS)}
     alike = (col["title"] >= 16) & (col["title"] < 21) & (col["authors"] >= 7)
-    cross = np.stack([np.where(alike, 0.9, 0.1), np.where(alike, 0.1, 0.0), np.where(alike, 0.0, 0.9)])
+    few = 0.1 * min(1.0, across[alike].sum() / max(across[~alike].sum(), 1.0))
+    cross = np.stack([np.where(alike, 0.9, few), np.where(alike, 0.1, 0.0), np.where(alike, 0.0, 1 - few)])
     same = np.stack([np.zeros(len(alike)), alike, ~alike])
     model, different = Model(), within * max(ratio, 1.0)
     for step in range(steps):

@@ -90,6 +90,22 @@ def test_weights_and_calibration():
     assert np.isfinite(fit_weights(np.zeros((0, len(LEVELS)), int), np.zeros(0), np.zeros(0)).classes).all()
 
 
+def test_weights_among_many_unrelated_pairs():
+    """Unrelated pairs grow with the square of the profiles; matches are still told from them."""
+    rnd = np.random.RandomState(4)
+    cols = {k: np.zeros(4000, int) for k in LEVELS}
+    match = np.arange(4000) < 1000
+    cols["title"] = np.where(match, rnd.randint(16, 21, 4000), rnd.randint(12, 19, 4000))
+    cols["authors"] = np.where(match, rnd.randint(8, 11, 4000), rnd.randint(0, 3, 4000))
+    cols["place"] = np.where(match, rnd.choice([4, 7], 4000), rnd.choice([4, 5, 9, 13, 17, 21], 4000))
+    cols["extra"] = np.where(match, rnd.randint(0, 2, 4000), rnd.randint(0, 4, 4000))
+    patterns, at = np.unique(np.stack([cols[k] for k in LEVELS], axis=1), axis=0, return_inverse=True)
+    matches, others = (np.bincount(np.ravel(at)[x], minlength=len(patterns)).astype(float) for x in (match, ~match))
+    for times in (1, 100, 10_000):
+        score = fit_weights(patterns, matches + times * others, 0.01 * times * others, 100.0).scores(patterns)
+        assert matches[score > 0].sum() > 950 and others[score > 0].sum() < 30, times
+
+
 def test_match(spark):
     rnd = random.Random(8)
     syllable = lambda n: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(n))
