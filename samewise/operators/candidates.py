@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from samewise.functions import filters
 from samewise.functions.sketch import as_classes, class_of, frequency_sketch
 from samewise.functions.text import numbered_repeats, qgrams
+from samewise.session import checkpoint
 
 
 def token_frequency(frames: list[DataFrame], tokens: str = "tokens") -> DataFrame:
@@ -184,19 +185,60 @@ def ed_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q:
 def ed_gram_candidates(left: DataFrame, right: DataFrame, k: int, self_join: bool, q: int = 2) -> DataFrame:
     """(id1, id2, common): pairs that the q-grams of both texts don't tell to be further apart than k, from (id, value).
 
-    Texts need more than q k q-grams. They share one of their q k + 1 rarest, their lengths differ by at most k, and they have
-    enough common q-grams (``common``, repeats counted as often as both have them). Not yet verified.
+    Texts need more than q k q-grams. Their lengths differ by at most k, and they have enough common q-grams (``common``,
+    repeats counted as often as both have them). Not yet verified.
+
+    Equal texts are compared once. Such sets of grams differ in at most 2 q k members: of the q k + 1 segments that grams are
+    hashed into, one is the same in both or, but for the first, has one member more in one of them. These are the keys; 128-bit
+    images of the sets tell most other pairs apart where they are found.
     """
-    frequency = gram_frequency([left] if self_join else [left, right], q)
+    segments = q * k + 1
 
     def side(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
-        ranked = ordered_grams(frame, frequency, q).where(F.col("n") > q * k)
-        index = ranked.select("id", "n", F.explode(F.array_distinct(F.transform(F.slice("ranked", 1, filters.ed_prefix_length(k, q)), lambda g: g["gram"]))).alias("gram"))
-        return index, ranked.select("id", numbered_repeats(F.transform("ranked", lambda g: g["gram"])).alias("grams"))
-
-    a = side(left)
-    b = a if self_join else side(right)
-    pairs = _sides(a[0], b[0], ["gram"], self_join, F.abs(F.col("n1") - F.col("n2")) <= k).select("id1", "id2", "n1", "n2").distinct()
-    one, two = (f.select(F.col("id").alias(f"id{j}"), F.col("grams").alias(f"g{j}")) for j, f in ((1, a[1]), (2, b[1])))
-    both = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2").withColumn("common", F.size(F.array_intersect("g1", "g2")))
-    return both.where(filters.ed_common(F.col("common"), F.col("n1"), F.col("n2"), k, q)).select("id1", "id2", "common")
+        n = F.greatest(F.length("value") - (q - 1), F.lit(1))
+        rows = frame.where((F.length("value") > 0) & (n > q * k)).select("id", "value").distinct()
+        grams = numbered_repeats(F.transform(qgrams(F.col("value"), q), lambda g: g["gram"]))
+        # a number of partitions, as texts are few bytes that take long
+        contents = rows.select("value").distinct().repartition(frame.sparkSession.sparkContext.defaultParallelism).select("value", n.alias("n"), grams.alias("grams"))
+        contents = checkpoint(contents.withColumn("c", F.monotonically_increasing_id()))  # which fixes the serial numbers
+        return contents, rows.hint("merge").join(contents.select("c", "value"), "value").select("id", "c")
+
+    def keys(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The keys of whole segments, and of segments without each one of their grams."""
+        images = [filters.set_image(F.col("grams"), h).alias(f"image{h}_") for h in (0, 1)]
+        rows = contents.select("c", "n", *images, F.transform("grams", lambda g: F.xxhash64(g)).alias("h"))
+        of = lambda x: F.pmod(x, F.lit(segments))
+        total = lambda s: F.aggregate(F.filter("h", lambda x: of(x) == s), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+        rows = rows.withColumn("sums", F.array(*(total(s) for s in range(segments))))
+        kept = ["c", "n", "image0_", "image1_"]
+        whole = rows.select(*kept, F.posexplode("sums").alias("s", "x")).select(F.xxhash64("s", "x").alias("key"), *kept)
+        cut = rows.select(*kept, "sums", F.explode(F.filter("h", lambda x: of(x) > 0)).alias("x")).withColumn("s", of(F.col("x")).cast("int"))
+        return whole, cut.select(F.xxhash64("s", F.get("sums", F.col("s")).bitwiseXOR(F.col("x"))).alias("key"), *kept)
+
+    a, members1 = side(left)
+    b, members2 = (a, members1) if self_join else side(right)
+    apart = sum((F.bit_count(F.col(f"image{h}_1").bitwiseXOR(F.col(f"image{h}_2"))) for h in (0, 1)), F.lit(0))
+    gap = F.abs(F.col("n1") - F.col("n2"))
+
+    def found(one: DataFrame, two: DataFrame, ordered: bool = False) -> DataFrame:
+        near = (gap <= k) & (apart <= 2 * q * k - gap)
+        x = one.select("key", *(F.col(c).alias(f"{c}1") for c in one.columns if c != "key"))
+        y = two.select("key", *(F.col(c).alias(f"{c}2") for c in two.columns if c != "key"))
+        return x.hint("merge").join(y, "key").where(near & (F.col("c1") < F.col("c2")) if ordered else near).select("c1", "c2")
+
+    (whole1, cut1), (whole2, cut2) = keys(a), keys(b)
+    if self_join:
+        crossed = found(whole1, cut2).where("c1 != c2").select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"))
+        pairs = found(whole1, whole2, True).unionByName(crossed).distinct()
+    else:
+        pairs = found(whole1, whole2).unionByName(found(whole1, cut2)).unionByName(found(cut1, whole2)).distinct()
+    one, two = (f.select(F.col("c").alias(f"c{j}"), F.col("n").alias(f"n{j}"), F.col("grams").alias(f"g{j}")) for j, f in ((1, a), (2, b)))
+    both = pairs.hint("merge").join(one, "c1").hint("merge").join(two, "c2").withColumn("common", F.size(F.array_intersect("g1", "g2")))
+    both = both.where((gap <= k) & filters.ed_common(F.col("common"), F.col("n1"), F.col("n2"), k, q)).select("c1", "c2", "common")
+    if self_join:
+        both = both.unionByName(a.select(F.col("c").alias("c1"), F.col("c").alias("c2"), F.col("n").alias("common")))
+    m1, m2 = (m.select(F.col("c").alias(f"c{j}"), F.col("id").alias(f"id{j}")) for j, m in ((1, members1), (2, members2)))
+    every = both.hint("merge").join(m1, "c1").hint("merge").join(m2, "c2")
+    if self_join:
+        every = every.where((F.col("c1") != F.col("c2")) | (F.col("id1") < F.col("id2"))).where("id1 != id2").select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "common")
+    return every.select("id1", "id2", "common")

@@ -192,6 +192,32 @@ def test_edit_distance_of_all_lengths(spark):
     assert near <= {tuple(r)[:2] for r in plan.collect()} and "BroadcastHashJoin" not in plan._jdf.queryExecution().toString()
 
 
+def test_common_grams_are_counted_exactly(spark):
+    from collections import Counter
+
+    from samewise.operators.candidates import ed_gram_candidates
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 14))) for _ in range(60)] + ["a quiet harbour of men", "a quiet harbor of men", "the quiet harbour of men", "a quiet harbour of men", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, value string")
+    other = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts[20:])], "id long, value string")
+    for k, q in ((1, 2), (2, 2), (1, 3), (0, 2)):
+        bags = [Counter([t[i : i + q] for i in range(max(len(t) - q + 1, 1))]) if t else Counter() for t in texts]
+
+        def common(a, b):
+            n, c = [sum(x.values()) for x in (a, b)], sum((a & b).values())
+            return c if min(n) > q * k and abs(n[0] - n[1]) <= k and c >= max(n) - q * k else None
+
+        plan = ed_gram_candidates(df, df, k, True, q)
+        got = [tuple(r) for r in plan.collect()]
+        want = {(i, j, c) for i, j in itertools.combinations(range(len(texts)), 2) for c in [common(bags[i], bags[j])] if c is not None}
+        assert len(got) == len(set(got)) and set(got) == want, (k, q)
+        # pairs that share one gram are too many to be written
+        assert "SortMergeJoin [gram" not in plan._jdf.queryExecution().toString()
+        want = {(i, 1000 + j - 20, c) for i in range(len(texts)) for j in range(20, len(texts)) for c in [common(bags[i], bags[j])] if c is not None}
+        assert {tuple(r) for r in ed_gram_candidates(df, other, k, False, q).collect()} == want
+
+
 def test_tokenized_columns_and_two_edit_distances(spark):
     df = spark.createDataFrame([(1, ["New York", "x", None, ""], "abc", "k1"), (2, ["x", "New York", "x"], "abd", "k1"), (3, ["New", "York", "x"], "abc", "k9x"), (4, [], None, "k1"), (5, None, "abe", "k2")], "id long, t array<string>, s string, u string")
     pairs = join_with_rules(df, js("t", 1.0), "id", tokenized=("t",))
