@@ -204,12 +204,24 @@ def clustered_join(df: DataFrame, id_col: str, clusters: list[tuple[list[str], f
 
 
 def minhash_candidates(df: DataFrame, id_col: str, text_col: str, threshold: float, tables: int = 16, features: int = 1 << 18) -> DataFrame:
-    """(id1, id2) that MinHash signatures find with an estimated Jaccard similarity of at least ``threshold``: approximate blocking."""
+    """(id1, id2) of the pairs whose hashed token sets have a Jaccard similarity of at least ``threshold`` and whose MinHash
+    signatures agree in one of ``tables`` hashes: approximate blocking.
+
+    The similarity comes first, by a rule on the hashed sets: a single hash agrees for so many dissimilar pairs that listing
+    these grows with the square of the records.
+    """
     from pyspark.ml.feature import HashingTF, MinHashLSH
+    from pyspark.ml.functions import vector_to_array
+
+    from samewise.plans.rules import js
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("tokens")).where(F.col("id").isNotNull() & (F.size("tokens") > 0))
     # written first: filters that Spark infers from the hashing would else run on records without tokens, which it refuses
     hashed = checkpoint(HashingTF(numFeatures=features, binary=True, inputCol="tokens", outputCol="features").transform(rows).select("id", "features"))
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(hashed)
-    near = model.approxSimilarityJoin(hashed, hashed, 1 - threshold + 1e-9, "distance")
-    return near.select(F.col("datasetA.id").alias("id1"), F.col("datasetB.id").alias("id2")).where("id1 < id2").distinct()
+    places = F.from_json(F.to_json(F.struct("features")), "features struct<indices: array<string>>")["features"]["indices"]
+    pairs = join_with_rules(hashed.select("id", places.alias("places")), js("places", threshold), "id", tokenized=("places",))
+    signed = model.transform(hashed).select("id", F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long")).alias("h")).distinct()
+    one, two = (signed.select(F.col("id").alias(f"id{k}"), F.col("h").alias(f"h{k}")) for k in (1, 2))
+    both = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2")
+    return both.where(F.exists(F.zip_with("h1", "h2", lambda a, b: a == b), lambda x: x)).select("id1", "id2").distinct()

@@ -218,6 +218,20 @@ def test_common_grams_are_counted_exactly(spark):
         assert {tuple(r) for r in ed_gram_candidates(df, other, k, False, q).collect()} == want
 
 
+def test_minhash_lists_no_dissimilar_pairs(spark):
+    from samewise.operators.rule_join import minhash_candidates
+
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.sample([f"w{k}" for k in range(12)], rnd.randint(6, 12))) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame([*enumerate(texts), (None, "w1 w2")], "id long, t string")
+    found = minhash_candidates(df, "id", "t", 0.7)
+    sets = [toks(t) for t in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j])}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "hashValue" not in found._jdf.queryExecution().toString()  # no join on single hashes
+
+
 def test_tokenized_columns_and_two_edit_distances(spark):
     df = spark.createDataFrame([(1, ["New York", "x", None, ""], "abc", "k1"), (2, ["x", "New York", "x"], "abd", "k1"), (3, ["New", "York", "x"], "abc", "k9x"), (4, [], None, "k1"), (5, None, "abe", "k2")], "id long, t array<string>, s string, u string")
     pairs = join_with_rules(df, js("t", 1.0), "id", tokenized=("t",))
