@@ -232,6 +232,20 @@ def test_minhash_lists_no_dissimilar_pairs(spark):
     assert "hashValue" not in found._jdf.queryExecution().toString()  # no join on single hashes
 
 
+def test_rows_of_two_tables_are_joined_by_content(spark, monkeypatch):
+    from samewise.operators import rule_join
+
+    df = spark.createDataFrame([(1, "red box"), (2, "red box"), (3, "blue jar"), (None, "red box")], "id long, t string")
+    other = spark.createDataFrame([(7, "box red"), (8, "red box"), (9, None)], "key long, s string")
+    monkeypatch.setattr(rule_join, "join_sides", None)  # it makes pairs of records distinct, which writes them
+    rows = join_with_rules(df, js("t", 0.6, "s"), "id", other, "key", output="rows")
+    assert rows.columns == ["left_id", "left_t", "right_key", "right_s"]
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, "red box", k, t) for i in (1, 2) for k, t in ((7, "box red"), (8, "red box"))]
+    twice = other.unionByName(other)
+    monkeypatch.undo()
+    assert join_with_rules(df, js("t", 0.6, "s"), "id", twice, "key", output="rows").count() == 8
+
+
 def test_tokenized_columns_and_two_edit_distances(spark):
     df = spark.createDataFrame([(1, ["New York", "x", None, ""], "abc", "k1"), (2, ["x", "New York", "x"], "abd", "k1"), (3, ["New", "York", "x"], "abc", "k9x"), (4, [], None, "k1"), (5, None, "abe", "k2")], "id long, t array<string>, s string, u string")
     pairs = join_with_rules(df, js("t", 1.0), "id", tokenized=("t",))
