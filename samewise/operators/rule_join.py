@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from samewise.functions import filters
 from samewise.functions.text import normalize, tokens
 from samewise.operators.candidates import ed_candidates, js_candidates
+from samewise.operators.evaluate import unordered
 from samewise.operators.statistics import attribute_clusters
 from samewise.plans.planner import ORDERS, order_blocks
 from samewise.plans.rules import ED, JS, Condition, Rule
@@ -220,25 +221,40 @@ def clustered_join(df: DataFrame, id_col: str, clusters: list[tuple[list[str], f
     return reduce(DataFrame.unionByName, out).distinct()
 
 
-def minhash_candidates(df: DataFrame, id_col: str, text_col: str, threshold: float, tables: int = 16, features: int = 1 << 18) -> DataFrame:
+def minhash_candidates(df: DataFrame, id_col: str, text_col: str, threshold: float, tables: int = 16, features: int = 1 << 18, among: DataFrame | None = None) -> DataFrame:
     """(id1, id2) of the pairs whose hashed token sets have a Jaccard similarity of at least ``threshold`` and whose MinHash
     signatures agree in one of ``tables`` hashes: approximate blocking.
 
     The similarity comes first, by a rule on the hashed sets: a single hash agrees for so many dissimilar pairs that listing
-    these grows with the square of the records.
+    these grows with the square of the records. With ``among``, pairs (id1, id2) of ids in either order, the result is exactly
+    those of all candidates that are among them: each is tested by itself, and no others are looked for. ``among``
+    is read twice.
     """
     from pyspark.ml.feature import HashingTF, MinHashLSH
     from pyspark.ml.functions import vector_to_array
 
     from samewise.plans.rules import js
 
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), tokens(F.col(f"`{text_col}`")).alias("tokens")).where(F.col("id").isNotNull() & (F.size("tokens") > 0))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
+    if among is not None:
+        pairs = unordered(among).where("id1 < id2")
+        texts = texts.hint("merge").join(pairs.select(F.explode(F.array("id1", "id2")).alias("id")).distinct().hint("merge"), "id", "left_semi")
+    rows = texts.select("id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
     # written first: filters that Spark infers from the hashing would else run on records without tokens, which it refuses
     hashed = checkpoint(HashingTF(numFeatures=features, binary=True, inputCol="tokens", outputCol="features").transform(rows).select("id", "features"))
     model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=tables, seed=7).fit(hashed)
-    places = F.from_json(F.to_json(F.struct("features")), "features struct<indices: array<string>>")["features"]["indices"]
-    pairs = join_with_rules(hashed.select("id", places.alias("places")), js("places", threshold), "id", tokenized=("places",))
-    signed = model.transform(hashed).select("id", F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long")).alias("h")).distinct()
+    places = F.from_json(F.to_json(F.struct("features")), "features struct<indices: array<int>>")["features"]["indices"].alias("places")
+    signature = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("long")).alias("h")
+    agree = F.exists(F.zip_with("h1", "h2", lambda a, b: a == b), lambda x: x)
+    if among is not None:
+        sets = model.transform(hashed).select("id", signature, places)
+        one, two = (sets.select(F.col("id").alias(f"id{k}"), F.col("h").alias(f"h{k}"), F.col("places").alias(f"p{k}")) for k in (1, 2))
+        both = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2")
+        similar = filters.js_reached(F.size(F.array_intersect("p1", "p2")), F.size("p1"), F.size("p2"), threshold)
+        # ids that repeat have several sets, of which one pair must be similar and one agree
+        return both.groupBy("id1", "id2").agg(F.max(similar).alias("similar"), F.max(agree).alias("agree")).where("similar and agree").select("id1", "id2")
+    pairs = join_with_rules(hashed.select("id", places), js("places", threshold), "id", tokenized=("places",))
+    signed = model.transform(hashed).select("id", signature).distinct()
     one, two = (signed.select(F.col("id").alias(f"id{k}"), F.col("h").alias(f"h{k}")) for k in (1, 2))
     both = pairs.hint("merge").join(one, "id1").hint("merge").join(two, "id2")
-    return both.where(F.exists(F.zip_with("h1", "h2", lambda a, b: a == b), lambda x: x)).select("id1", "id2").distinct()
+    return both.where(agree).select("id1", "id2").distinct()

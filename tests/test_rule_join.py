@@ -232,6 +232,41 @@ def test_minhash_lists_no_dissimilar_pairs(spark):
     assert "hashValue" not in found._jdf.queryExecution().toString()  # no join on single hashes
 
 
+def test_minhash_among_given_pairs_is_that_of_all_candidates(spark):
+    from samewise.operators.rule_join import minhash_candidates
+
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.sample([f"w{k}" for k in range(12)], rnd.randint(6, 12))) for _ in range(40)] + ["", None]
+    rows = [*enumerate(texts), (3, texts[7]), (5, texts[9]), (None, texts[0])]
+    df = spark.createDataFrame(rows, "id long, t string")
+    given = [(i, j) if rnd.random() < 0.5 else (j, i) for i, j in itertools.combinations(range(len(texts)), 2) if rnd.random() < 0.5]
+    among = spark.createDataFrame([*given, given[0], (4, 4), (1, None), (1, 99)], "id1 long, id2 long")
+    kept = {(min(p), max(p)) for p in given}
+    for threshold, tables, features in ((0.6, 1, 1 << 18), (0.7, 2, 8)):  # few hashes miss similar pairs, few features make others similar
+        every = {tuple(r) for r in minhash_candidates(df, "id", "t", threshold, tables, features).collect()}
+        got = [tuple(r) for r in minhash_candidates(df, "id", "t", threshold, tables, features, among).collect()]
+        assert len(got) == len(set(got)) and set(got) == every & kept and set() < set(got) < every
+
+
+def test_recall_needs_one_similarity_join(spark, tmp_path, monkeypatch):
+    from samewise.operators import rule_join
+    from samewise.queries.rules import lsh_recall
+
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.sample([f"w{k}" for k in range(12)], rnd.randint(6, 12))) for _ in range(40)] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, plot string")
+    df.unionByName(df.limit(5)).write.parquet(str(tmp_path / "films.parquet"))
+    joins, join = [], rule_join.similar_contents
+    monkeypatch.setattr(rule_join, "similar_contents", lambda *a: joins.append(a) or join(*a))
+    sets = [toks(t) for t in texts]
+    want = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert [tuple(r) for r in lsh_recall(spark, str(tmp_path)).collect()] == [(len(want), True)] and want
+    assert len(joins) == 1
+    empty = tmp_path / "empty"
+    df.limit(0).write.parquet(str(empty / "films.parquet"))
+    assert [tuple(r) for r in lsh_recall(spark, str(empty)).collect()] == [(0, True)]
+
+
 def test_rows_of_two_tables_are_joined_by_content(spark, monkeypatch):
     from samewise.operators import rule_join
 
