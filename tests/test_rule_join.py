@@ -281,6 +281,38 @@ def test_rows_of_two_tables_are_joined_by_content(spark, monkeypatch):
     assert join_with_rules(df, js("t", 0.6, "s"), "id", twice, "key", output="rows").count() == 8
 
 
+def test_rows_of_frequent_contents_stay_small_and_are_spread(spark, tmp_path, monkeypatch):
+    from samewise.operators import rule_join
+
+    df = spark.range(300).selectExpr("id", "'red box' t")
+    other = spark.range(4001).selectExpr("id * 7 key", "'box red' s")
+    rows = lambda: join_with_rules(df, js("t", 0.6, "s"), "id", other, "key", output="rows")
+    rows().write.parquet(str(tmp_path / "rows"))
+    written = spark.read.parquet(str(tmp_path / "rows"))
+    assert written.count() == written.distinct().count() == 300 * 4001 and {tuple(r) for r in written.select("left_t", "right_s").distinct().collect()} == {("red box", "box red")}
+    assert sum(p.stat().st_size for p in (tmp_path / "rows").glob("*.parquet")) < 0.4 * 300 * 4001
+    monkeypatch.setattr(rule_join, "SLICE", 256)
+    monkeypatch.setattr(rule_join, "TASK_ROWS", 1 << 14)
+    tasks = [r["count"] for r in rows().groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 300 * 4001 and len(tasks) > 4 and max(tasks) < 300 * 4001 / 3
+
+
+@pytest.mark.parametrize("piece", [(1, 1), (2, 1), (8, 4)])
+def test_slices_of_contents_meet_once(spark, monkeypatch, piece):
+    from samewise.operators import rule_join
+
+    monkeypatch.setattr(rule_join, "SLICE", piece[0])
+    monkeypatch.setattr(rule_join, "BLOCK", piece[1])
+    monkeypatch.setattr(rule_join, "TASK_ROWS", 8)
+    texts = ["red box", "box red", "red box", "red tree", "blue", "", None, "red box x1"]
+    left, right = ([{"id": i, "t": texts[(i * i + k) % len(texts)], "b": None if i % 3 else f"b{i}"} for i in range(n)] for k, n in ((0, 45), (3, 37)))
+    one, two = (spark.createDataFrame([tuple(r.values()) for r in x], "id long, t string, b string") for x in (left, right))
+    got = [tuple(r) for r in join_with_rules(one, js("t", 0.6), "id", two, "id", output="rows").collect()]
+    want = {(*left[a].values(), *right[b].values()) for a, b in brute(js("t", 0.6), left, right)}
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert join_with_rules(one, js("t", 0.6), "id", two.limit(0), "id", output="rows").collect() == []
+
+
 def test_tokenized_columns_and_two_edit_distances(spark):
     df = spark.createDataFrame([(1, ["New York", "x", None, ""], "abc", "k1"), (2, ["x", "New York", "x"], "abd", "k1"), (3, ["New", "York", "x"], "abc", "k9x"), (4, [], None, "k1"), (5, None, "abe", "k2")], "id long, t array<string>, s string, u string")
     pairs = join_with_rules(df, js("t", 1.0), "id", tokenized=("t",))
